@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.session import staged
 from quillgraph.sources.tables import table
 
 #: The least sum of evidence: 2 for a strong mark, 1 for a weak one, 1 for the same response from HOSTS or
@@ -163,7 +164,7 @@ def marked(documents: DataFrame) -> DataFrame:
 
 def residue(documents: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
     """doc_id, kinds, evidence of the documents with residue."""
-    found = marked(documents)
+    found = staged(marked(documents), "residue-marks")
     weak = found.where(~F.col("strong"))
     # one row per response and host first, so that a response sent everywhere is counted piecewise
     hosts = weak.select("shape", "host").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("hosts"))
