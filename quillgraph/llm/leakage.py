@@ -42,7 +42,7 @@ MOST_ITEM_WORDS = 2_000_000
 WORDS_AT_ONCE = 40_000
 _WORD = re.compile(r"[^\W_]+")
 # Invisible characters that are not of the category Cf.
-_INVISIBLE = re.compile("[͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ\U000e0100-\U000e01ef]")
+_INVISIBLE = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\U000e0100-\U000e01ef]")
 
 
 def words(text: str | None) -> list[str]:
