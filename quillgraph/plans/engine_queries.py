@@ -437,3 +437,24 @@ def files_by_language(spark, d):
 @query("symbols_by_kind", "SELECT repo, kind, count(DISTINCT symbol_id) AS symbols FROM symbol_def GROUP BY ALL")
 def symbols_by_kind(spark, d):
     return t(spark, d, "symbol_def").groupBy("repo", "kind").agg(F.countDistinct("symbol_id").alias("symbols"))
+
+
+# ---- extraction -----------------------------------------------------------------------------------
+
+
+def _sources(spark, d):
+    one = t(spark, d, "file_record").where("file_id IS NOT NULL AND lang IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("workspace_id", "repo", F.col("repo_relative_path").alias("file_path"), "lang")).alias("f")).select("file_id", "f.*")
+    return one.join(t(spark, d, "source_text"), "file_id")
+
+
+def _extracted(kind: str):
+    def run(spark, d):
+        from quillgraph.operators import extract
+
+        return extract.facts_of(extract.extract(_sources(spark, d)), kind)
+
+    return run
+
+
+for _kind in ("symbol", "import", "call", "route", "client", "producer", "consumer", "module"):
+    QUERIES[f"extract_{_kind}"] = _extracted(_kind)
