@@ -47,9 +47,10 @@ class Store:
         scratch = f"{self.folder}/_merge-{uuid.uuid4().hex}"  # the old partitions are still read from
         merged.write.parquet(scratch)
         done = self.spark.read.schema(merged.schema).parquet(scratch)
-        empty = parts.join(done.select(*by).distinct(), list(by), "left_anti")
+        # known before the refresh, as what is touched may come from the partitions it replaces
+        empty = [tuple(row) for row in parts.join(done.select(*by).distinct(), list(by), "left_anti").toLocalIterator()]
         self.refresh(name, done, by)
-        for row in empty.toLocalIterator():
+        for row in empty:
             self.clear(name, dict(zip(by, row, strict=True)))
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(scratch)
