@@ -104,7 +104,7 @@ _JS_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\
 
 def _clean_block(text: str) -> str:
     body = text[2:-2] if text.endswith("*/") else text[2:]
-    return "\n".join(re.sub(r"^\s*\*+ ?", "", x) for x in body.lstrip("*!").split("\n")).strip("\n")
+    return "\n".join(re.sub(r"^\s*\*+ ?", "", x) for x in body.lstrip("*!").split("\n")).strip()
 
 
 def comments(text: str, python: bool) -> list[tuple[int, int, str, bool]]:

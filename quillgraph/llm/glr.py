@@ -32,7 +32,7 @@ class Grammar:
             name, _, body = line.partition(": ")
             for alternative in body.split(" | "):
                 self._add(name.strip(), alternative.split(), made)
-        self.start = self.rules[0][0]
+        self.start = joined[0].partition(": ")[0].strip()
         self._build()
 
     def _add(self, name: str, parts: list[str], made: set[str]) -> None:

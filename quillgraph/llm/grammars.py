@@ -93,8 +93,8 @@ star_as: * as ident
 named_imports: { } | { import_spec%, } | { import_spec%, , }
 import_spec: ident | name as ident | STR as ident
 attrs: with OBJ
-OBJ: OBJ{ } | OBJ{ prop%, } | OBJ{ prop%, , } | { } | { prop%, } | { prop%, , }
-export_decl: export * from STR attrs? ASI | export * as name from STR attrs? ASI | export named_exports from STR attrs? ASI | export named_exports ASI | export decl | export var_stmt | export default func_default | export default class_default | export default assign ASI
+OBJ: OBJ{ } | OBJ{ prop%, } | OBJ{ prop%, , }
+export_decl: decorator+ export class_decl | decorator+ export default class_default | export * from STR attrs? ASI | export * as name from STR attrs? ASI | export named_exports from STR attrs? ASI | export named_exports ASI | export decl | export var_stmt | export default func_default | export default class_default | export default assign ASI
 named_exports: { } | { export_spec%, } | { export_spec%, , }
 export_spec: name | name as name | STR
 func_default: func_decl | function gen? sig block | async function gen? sig block
@@ -119,7 +119,7 @@ catch_part: catch block | catch ( binding ) block
 finally_part: finally block
 binding: ident | bpattern
 bpattern: [ elements? ] | OB bprops? CB
-OB: OBJ{ | {
+OB: OBJ{
 CB: }
 elements: elisions | elements_some elisions?
 elements_some: elisions? element | elements_some , elisions? element
@@ -182,7 +182,7 @@ stmt: decl
 ident: STRICTX
 STRICTX: implements | package | interface | private | protected | public
 import_decl: import type clause from STR attrs? ASI | import ident = require ( STR ) ASI | import type ident = require ( STR ) ASI | import ident = entity ASI
-export_decl: export type named_exports from STR attrs? ASI | export type named_exports ASI | export type * from STR ASI | export type * as name from STR ASI | export = expr ASI | export as namespace ident ASI | export import ident = entity ASI | export default interface_decl | export default abstract_class | export default function sig returns? ASI
+export_decl: decorator+ export abstract_class | decorator+ export default abstract_class | export type named_exports from STR attrs? ASI | export type named_exports ASI | export type * from STR ASI | export type * as name from STR ASI | export = expr ASI | export as namespace ident ASI | export import ident = entity ASI | export default interface_decl | export default abstract_class | export default function sig returns? ASI
 import_spec: type ident | type name as ident
 export_spec: type name | type name as name
 abstract_class: abstract class_decl | decorator+ abstract class_decl
