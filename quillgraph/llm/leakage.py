@@ -8,7 +8,8 @@ every window of every item by cosine in the latent space; windows overlap so tha
 words of a document lie whole in one of its windows. Candidates are checked: N consecutive words of the
 item in the document are a copy; a long common subsequence with all the item's numbers is a paraphrase.
 
-Least cosines follow the length of the item's window, as a short one fills less of a document's window.
+Short items have windows of their own length, also in the documents, so that what surrounds them can't
+outweigh them.
 
 Defined results: null or wordless texts match nothing; an item of fewer than N words has to occur whole;
 null ids are left out; re-delivered documents or items count once (rows are distinct); extra columns are
@@ -31,10 +32,12 @@ from quillgraph.session import staged
 from quillgraph.sources.tables import table
 
 N = 13
-WINDOW, STRIDE = 16, 4
-BINS, RANK, OVERSAMPLE = 1 << 15, 96, 16
-#: The least cosine of a window of m item words is this times sqrt(m / WINDOW).
-LEAST_COSINE = 0.75
+#: Items' windows are N words, or the whole item if it is shorter; documents' are STRIDE - 1 words longer.
+STRIDE = 4
+WINDOW = N + STRIDE - 1
+BINS, RANK, OVERSAMPLE = 1 << 15, 64, 8
+#: The least cosine of a document's window with an item's. See the README for the recall measured.
+LEAST_COSINE = 0.45
 #: A paraphrase shares a common subsequence of this part of the item window's words.
 LEAST_COMMON = 0.75
 MOST_ITEM_WORDS = 2_000_000
@@ -161,7 +164,7 @@ def latent_space(docs: DataFrame, items: list[bytes], rank: int = RANK, seed: in
     """BINS x rank: each word's weighted place in the latent space."""
     frequency = _document_frequencies(docs)
     n = max(1.0, docs.count())
-    idf = np.log((n + 1) / (frequency + 1)) + 0.1
+    idf = (np.log((n + 1) / (frequency + 1)) + 0.1).astype(np.float32)
 
     def gram(basis: np.ndarray, scale: float | None) -> tuple[np.ndarray, float]:
         own = np.zeros_like(basis)
@@ -188,23 +191,24 @@ def _windows(n: int, size: int, stride: int) -> np.ndarray:
     return np.r_[np.arange(0, n - size, stride), n - size]
 
 
-def _places(space: np.ndarray, arrays: list[np.ndarray], size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors of the windows, their text's index, their start)."""
-    flat = np.concatenate(arrays)
-    sums = np.zeros((len(flat) + 1, space.shape[1]))
-    np.cumsum(space[flat], axis=0, dtype=np.float64, out=sums[1:])
-    of, start, first, last = [], [], [], []
-    offset = 0
-    for i, a in enumerate(arrays):
-        s = _windows(len(a), size, stride)
-        of.append(np.full(len(s), i))
-        start.append(s)
-        first.append(s + offset)
-        last.append(np.minimum(s + size, len(a)) + offset)
-        offset += len(a)
-    v = (sums[np.concatenate(last)] - sums[np.concatenate(first)]).astype(np.float32)
-    length = np.linalg.norm(v, axis=1, keepdims=True)
-    return v / np.maximum(length, 1e-9), np.concatenate(of), np.concatenate(start)
+class _Sums:
+    """Running sums of the texts' words in the latent space: any window is a difference of two of them."""
+
+    def __init__(self, space: np.ndarray, arrays: list[np.ndarray]):
+        flat = np.concatenate(arrays)
+        self.lengths = [len(a) for a in arrays]
+        self.sums = np.zeros((len(flat) + 1, space.shape[1]))
+        np.cumsum(space[flat], axis=0, dtype=np.float64, out=self.sums[1:])
+
+    def windows(self, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit vectors of the windows, their text's index, their start)."""
+        starts = [_windows(n, size, stride) for n in self.lengths]
+        counts = [len(s) for s in starts]
+        of, start = np.repeat(np.arange(len(starts)), counts), np.concatenate(starts)
+        offset = np.cumsum([0, *self.lengths])[of]
+        last = np.minimum(start + size, np.array(self.lengths)[of])
+        v = (self.sums[offset + last] - self.sums[offset + start]).astype(np.float32)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), of, start
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -248,27 +252,33 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
         raise ValueError("the items are too many to hold in one task: pass them in parts")
     space = latent_space(docs, list(own["bins"]), rank)
     arrays = [np.frombuffer(x, np.int32) for x in own["bins"]]
-    vectors, of, start = _places(space, arrays, N, STRIDE)
+    vectors, of, start = _Sums(space, arrays).windows(N, STRIDE)
     lengths = np.minimum(N, np.array([len(a) for a in arrays])[of])
-    needed = (least_cosine * np.sqrt(lengths / WINDOW)).astype(np.float32)
+    # windows of a document are a little longer than the item's, so that they hold all its words
+    by_length = [(int(m), vectors[lengths == m], of[lengths == m], start[lengths == m]) for m in np.unique(lengths)]
     ids, texts = own["id"].to_numpy(), [w.split(" ") for w in own["words"]]
-    shared = spark.sparkContext.broadcast((space, vectors, of, start, needed, ids, texts))
+    shared = spark.sparkContext.broadcast((space, by_length, ids, texts))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, vectors, of, start, needed, ids, texts = shared.value
+        space, by_length, ids, texts = shared.value
         rare = _rare_words(texts)
         grams = [{f" {' '.join(t[i : i + N])} " for i in range(max(1, len(t) - N + 1))} for t in texts]
         for b in batches:
             out = []
             for some in _by_words(list(b["bins"])):
-                places, text_of, at = _places(space, [np.frombuffer(b["bins"].iloc[i], np.int32) for i in some], WINDOW, STRIDE)
+                sums = _Sums(space, [np.frombuffer(b["bins"].iloc[i], np.int32) for i in some])
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for a in range(0, len(places), 4096):
-                    s = places[a : a + 4096] @ vectors.T
-                    for w, q in zip(*np.nonzero(s >= needed), strict=True):
-                        pair = (int(text_of[a + w]), int(of[q]))
-                        if pair not in best or s[w, q] > best[pair][0]:
-                            best[pair] = (float(s[w, q]), int(at[a + w]), int(start[q]))
+                for m, vectors, of, start in by_length:
+                    places, text_of, at = sums.windows(m + STRIDE - 1, STRIDE)
+                    for a in range(0, len(places), 4096):
+                        s = places[a : a + 4096] @ vectors.T
+                        w, q = np.nonzero(s >= least_cosine)
+                        score = s[w, q]
+                        order = np.argsort(score, kind="stable")  # the best comes last and stays
+                        for x in order:
+                            pair = (int(text_of[a + w[x]]), int(of[q[x]]))
+                            if pair not in best or score[x] > best[pair][0]:
+                                best[pair] = (float(score[x]), int(at[a + w[x]]), int(start[q[x]]))
                 for (i, item), (score, window, asked) in best.items():
                     row = b.iloc[some[i]]
                     whole = f" {row['words']} "
@@ -276,7 +286,7 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
                         out.append((ids[item], row["id"], "copy", score, N))
                         continue
                     query = texts[item][asked : asked + N]
-                    passage = row["words"].split(" ")[window : window + WINDOW]
+                    passage = row["words"].split(" ")[window : window + len(query) + STRIDE - 1]
                     shared_words = common_words(query, passage)
                     if len(query) == N and shared_words >= least_common * N and _answers(query, passage, rare):
                         out.append((ids[item], row["id"], "paraphrase", score, shared_words))
