@@ -89,3 +89,74 @@ def test_gate_runs(spark):
         with pytest.raises(adhoc.Refused):
             check(value)
     assert adhoc.plain({"a": [b"\x01", 2]}) == {"a": ["01", 2]}
+
+
+def test_checkout(tmp_path):
+    import subprocess
+
+    from quillgraph.sources import checkout
+
+    repo = tmp_path / "origin"
+    repo.mkdir()
+    (repo / "a.py").write_text("x = 1\n")
+    plain = checkout.local("w", manifest.Repository("r", path=str(repo)))
+    assert len(plain.commit) == 40 and plain == checkout.local("w", manifest.Repository("r", path=str(repo)))
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=repo, check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    run("add", "a.py")
+    run("commit", "-q", "-m", "one")
+    at = checkout.local("w", manifest.Repository("r", path=str(repo)))
+    far = checkout.checkout(str(tmp_path / "root"), "w", manifest.Repository("r", url=f"file://{repo}", branch="main"))
+    assert far.commit == at.commit and far.path.endswith(f"w/r@{at.commit}")
+    assert checkout.checkout(str(tmp_path / "root"), "w", manifest.Repository("r", url=f"file://{repo}")) == far
+    for bad in (manifest.Repository("r", path=str(tmp_path / "no")), manifest.Repository("r", url=f"file://{tmp_path}/no")):
+        with pytest.raises(checkout.CheckoutError):
+            checkout.checkout(str(tmp_path / "root"), "w", bad)
+
+
+def test_config(tmp_path):
+    from quillgraph.sources import config
+
+    f = tmp_path / "env"
+    f.write_text('# c\nexport QUILLGRAPH_CHUNK_LINES="50"\nQUILLGRAPH_TOOL_TIMEOUT=2.5\n')
+    s = config.load({"QUILLGRAPH_CHUNK_LINES": "7"}, (str(f),))
+    assert (s.chunk_lines, s.tool_timeout, s.embedding) == (7, 2.5, "hash")
+    with pytest.raises(ValueError):
+        config.load({"QUILLGRAPH_CHUNK_LINES": "many"}, ())
+
+
+def test_providers():
+    from quillgraph.operators import providers
+
+    asked = []
+
+    def call(texts):
+        asked.append(len(texts))
+        if len(texts) > 2 or "huge" in texts:
+            raise RuntimeError("request too large")
+        return [[3.0, 4.0] if t else [0.0, 0.0] for t in texts]
+
+    ask = providers.guarded(call, dim=2, batch=4)
+    assert ask(["a", "b", "", "c", "huge"]) == [[0.6, 0.8], [0.6, 0.8], [0.0, 0.0], [0.6, 0.8], [0.0, 0.0]]
+    assert asked == [4, 2, 2, 1]
+    with pytest.raises(ValueError):
+        providers.guarded(lambda t: [[1.0]], dim=2)(["a"])
+    with pytest.raises(KeyError):
+        providers.get("no", None)
+    assert providers.get("no") is providers.get("hash")
+
+
+def test_metrics(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import metrics
+
+    df, seen = metrics.observed(spark.range(5), rows=F.count(F.lit(1)), top=F.max("id"))
+    df.collect()
+    assert seen.get == {"rows": 5, "top": 4}
+    timers = metrics.Timers()
+    with timers.stage("a"):
+        pass
+    assert timers.rows[0][0] == "a"
+    values = spark.createDataFrame([(0.04,), (0.3,), (99.0,)], "s double")
+    assert [x["n"] for x in metrics.histogram(values, "s", [0.05, 1]).collect()] == [1, 2, 3]
