@@ -42,7 +42,7 @@ LEAST_COSINE = 0.45
 LEAST_COMMON = 0.75
 MOST_ITEM_WORDS = 2_000_000
 #: Words of documents that a task holds in latent form at once.
-WORDS_AT_ONCE = 40_000
+WORDS_AT_ONCE = 20_000
 _WORD = re.compile(r"[^\W_]+")
 # Invisible characters that are not of the category Cf.
 _INVISIBLE = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\U000e0100-\U000e01ef]")
@@ -118,23 +118,25 @@ def _document_frequencies(docs: DataFrame) -> np.ndarray:
     return _summed(docs.sparkSession, docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), 1)[:, 0]
 
 
-def _gram_times(texts: list[bytes], idf: np.ndarray, basis: np.ndarray, into: np.ndarray) -> None:
-    """into += A^T (A basis), where A's rows are the texts' passages of WINDOW words, weighted by idf."""
+def _gram_times(texts: list[bytes], idf: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
+    """into += A^T (A basis), where A's rows are the texts' passages of WINDOW words, weighted by idf.
+
+    weighted: the basis with its rows times idf. A word's row gets the sum of its passages' images.
+    """
     arrays = [np.frombuffer(x, np.int32) for x in texts]
     if not arrays:
         return
     flat = np.concatenate(arrays)
     starts = np.concatenate([off + np.arange(0, len(a), WINDOW) for a, off in zip(arrays, np.cumsum([0, *map(len, arrays)])[:-1], strict=True)])
-    weighted = idf[flat][:, None] * basis[flat]
-    passages = np.add.reduceat(weighted, starts, axis=0)
-    each = np.repeat(passages, np.diff(np.r_[starts, len(flat)]), axis=0) * idf[flat][:, None]
+    passages = np.add.reduceat(weighted[flat], starts, axis=0)
+    passage_of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(flat)]))
     order = np.argsort(flat, kind="stable")
     bins, at = np.unique(flat[order], return_index=True)
-    into[bins] += np.add.reduceat(each[order], at, axis=0)
+    into[bins] += np.add.reduceat(passages[passage_of[order]], at, axis=0) * idf[bins][:, None]
 
 
 def _gram(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    shared = docs.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((idf, (idf[:, None] * basis).astype(np.float32)))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights, columns = shared.value
@@ -197,8 +199,8 @@ class _Sums:
     def __init__(self, space: np.ndarray, arrays: list[np.ndarray]):
         flat = np.concatenate(arrays)
         self.lengths = [len(a) for a in arrays]
-        self.sums = np.zeros((len(flat) + 1, space.shape[1]))
-        np.cumsum(space[flat], axis=0, dtype=np.float64, out=self.sums[1:])
+        self.sums = np.zeros((len(flat) + 1, space.shape[1]), dtype=np.float32)
+        np.cumsum(space[flat], axis=0, out=self.sums[1:])
 
     def windows(self, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit vectors of the windows, their text's index, their start)."""
@@ -207,7 +209,7 @@ class _Sums:
         of, start = np.repeat(np.arange(len(starts)), counts), np.concatenate(starts)
         offset = np.cumsum([0, *self.lengths])[of]
         last = np.minimum(start + size, np.array(self.lengths)[of])
-        v = (self.sums[offset + last] - self.sums[offset + start]).astype(np.float32)
+        v = self.sums[offset + last] - self.sums[offset + start]
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), of, start
 
 
@@ -233,11 +235,16 @@ def _rare_words(texts: list[list[str]]) -> set[str]:
     return {w for w, n in count.items() if n <= max(1, len(texts) / 8)}
 
 
-def _answers(query: list[str], passage: list[str], rare: set[str]) -> bool:
-    """Whether the passage has the query's numbers and most of the words that make it this item."""
-    own = {w for w in query if w in rare}
-    have = set(passage)
-    return len(own) >= 3 and all(w in have for w in query if w[0].isdigit()) and 3 * len(own & have) >= 2 * len(own)
+def _gram_hashes(bins: np.ndarray, m: int) -> np.ndarray:
+    """A hash of every run of m words: equal runs have equal hashes."""
+    n = len(bins) - m + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(m):
+            out = out * np.uint64(1_099_511_628_211) + bins[k : k + n].astype(np.uint64) + np.uint64(1)
+    return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine: float = LEAST_COSINE, least_common: float = LEAST_COMMON) -> DataFrame:
@@ -263,33 +270,52 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
         space, by_length, ids, texts = shared.value
         rare = _rare_words(texts)
         grams = [{f" {' '.join(t[i : i + N])} " for i in range(max(1, len(t) - N + 1))} for t in texts]
+        bins = Bins()
+        own = [np.array([bins[w] for w in t], dtype=np.int32) for t in texts]
+        known = {m: np.unique(np.concatenate([_gram_hashes(x, m) for x in own if min(len(x), N) == m])) for m in {min(len(x), N) for x in own}}
+        asked: dict[tuple[int, int], tuple[list[str], list[str], set[str]]] = {}
         for b in batches:
             out = []
-            for some in _by_words(list(b["bins"])):
-                sums = _Sums(space, [np.frombuffer(b["bins"].iloc[i], np.int32) for i in some])
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
+            texts_of, keys, all_bins = b["words"].tolist(), b["id"].tolist(), b["bins"].tolist()
+            for some in _by_words(all_bins):
+                arrays = [np.frombuffer(all_bins[i], np.int32) for i in some]
+                sums = _Sums(space, arrays)
                 for m, vectors, of, start in by_length:
                     places, text_of, at = sums.windows(m + STRIDE - 1, STRIDE)
+                    hits = []
                     for a in range(0, len(places), 4096):
                         s = places[a : a + 4096] @ vectors.T
                         w, q = np.nonzero(s >= least_cosine)
-                        score = s[w, q]
-                        order = np.argsort(score, kind="stable")  # the best comes last and stays
-                        for x in order:
-                            pair = (int(text_of[a + w[x]]), int(of[q[x]]))
-                            if pair not in best or score[x] > best[pair][0]:
-                                best[pair] = (float(score[x]), int(at[a + w[x]]), int(start[q[x]]))
-                for (i, item), (score, window, asked) in best.items():
-                    row = b.iloc[some[i]]
-                    whole = f" {row['words']} "
-                    if any(g in whole for g in grams[item]):
-                        out.append((ids[item], row["id"], "copy", score, N))
-                        continue
-                    query = texts[item][asked : asked + N]
-                    passage = row["words"].split(" ")[window : window + len(query) + STRIDE - 1]
-                    shared_words = common_words(query, passage)
-                    if len(query) == N and shared_words >= least_common * N and _answers(query, passage, rare):
-                        out.append((ids[item], row["id"], "paraphrase", score, shared_words))
+                        hits.append((w + a, q, s[w, q]))
+                    w, q, score = (np.concatenate([h[k] for h in hits]) for k in range(3))
+                    pair = text_of[w].astype(np.int64) * len(ids) + of[q]
+                    order = np.lexsort((-score, pair))
+                    first = order[np.r_[True, np.diff(pair[order]) > 0]] if len(order) else order
+                    # a text with none of the items' runs of words needs no comparison of words for a copy
+                    has: dict[int, bool] = {}
+                    for x in first:
+                        i, item = int(text_of[w[x]]), int(of[q[x]])
+                        if i not in has:
+                            has[i] = bool(np.isin(_gram_hashes(arrays[i], m), known[m]).any())
+                        words_of = texts_of[some[i]]
+                        if has[i]:
+                            whole = f" {words_of} "
+                            if any(g in whole for g in grams[item]):
+                                out.append((ids[item], keys[some[i]], "copy", float(score[x]), min(N, len(texts[item]))))
+                                continue
+                        if m < N:
+                            continue
+                        window = (item, int(start[q[x]]))
+                        if window not in asked:
+                            query = texts[item][window[1] : window[1] + N]
+                            asked[window] = query, [y for y in query if y[0].isdigit()], {y for y in query if y in rare}
+                        query, numbers, telling = asked[window]
+                        if len(telling) < 3:
+                            continue
+                        passage = words_of.split(" ")[at[w[x]] : at[w[x]] + N + STRIDE - 1]
+                        there = set(passage)
+                        if all(y in there for y in numbers) and 3 * len(telling & there) >= 2 * len(telling) and (shared_words := common_words(query, passage)) >= least_common * N:
+                            out.append((ids[item], keys[some[i]], "paraphrase", float(score[x]), shared_words))
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "kind", "score", "common"])
 
     found = docs.mapInPandas(each, schema)
