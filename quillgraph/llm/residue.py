@@ -63,6 +63,10 @@ _FILLER = re.compile(
     r"|\breplace this (?:text|page|paragraph|sentence)\b|^\W*edit this (?:paragraph|page|text|section)\b|^\W*(?:write|add|put|enter|describe|insert)\b[^.\n]{0,60}\bhere\b\W*$|^\W*(?:write|add|put|enter|insert) (?:a|an|your|some|the)\b[^.\n]{0,60}\bhere\."
     r"|hier steht (?:noch )?(?:ein|der|ihr) (?:beispiel|platzhalter|blind)?text|\bplatzhalter(?:text)?\W*$|beispieltext\W|texte d'exemple|le contenu sera placé ici|votre texte ici|texto de (?:ejemplo|relleno|muestra)|aquí va (?:el|más|su|tu|un)\b|su texto aquí"
 )
+# One of these occurs, in lower case, in whatever the pattern finds; looking for them is cheap.
+_PHRASE_HINTS = ("page", "requested ", "something went wrong", "took too long", "session", "permission", "access", "denied", "temporarily unavailable", "error", "try again", "seite", "fehler", "verweigert", "später", "sitzung", "berechtigung", "página", "se ha producido", "denegado", "inténtelo", "sesión", "erreur", "accès", "réessayer")
+_SCRIPT_HINTS = ("script", "skript", "browser is not supported", "you need to turn on", "cannot start without it")
+_FILLER_HINTS = ("lorem", "bla", "here", "some text for section", "sample", "placeholder", "dummy", "example", "replace this", "edit this", "hier steht", "platzhalter", "beispieltext", "exemple", "placé ici", "texte ici", "texto", "aquí va")
 _WORD = re.compile(r"[^\W\d_]+")
 # The commonest function words of the four languages.
 STOP_WORDS = frozenset(
@@ -94,6 +98,10 @@ def _meaningless(words: list[str]) -> bool:
     return len(words) >= 8 and not any(w in STOP_WORDS for w in words)
 
 
+def _found(pattern: re.Pattern, hints: tuple[str, ...], text: str, low: str) -> bool:
+    return any(h in low for h in hints) and pattern.search(text) is not None
+
+
 def _repeats(passage: str) -> bool:
     sentences = [s.strip().lower() for s in re.split(r"(?<=[.!?])\s+", passage) if s.strip()]
     return len(sentences) >= 3 and len(set(sentences)) == 1
@@ -114,12 +122,13 @@ def marks(text: str | None) -> list[tuple[str, bool, str]]:
         bare = _QUOTED.sub(" ", passage)
         if _PLACEHOLDER.search(bare):
             out.append(("placeholder", True, bare))
-        if _SCRIPTS.search(bare):
+        low = bare.lower()
+        if _found(_SCRIPTS, _SCRIPT_HINTS, bare, low):
             out.append(("scripts", "<noscript>" in bare.lower(), bare))
-        elif _ERROR_PHRASE.search(bare):
+        elif _found(_ERROR_PHRASE, _PHRASE_HINTS, bare, low):
             out.append(("error page", False, bare))
         lines = [x for x in bare.split("\n") if x.strip()]
-        if any(_FILLER.search(x) for x in lines):
+        if any(h in low for h in _FILLER_HINTS) and any(_FILLER.search(x) for x in lines):
             out.append(("filler", True, bare))
         elif _repeats(bare) or any(_prose(x) and _mashed([w.lower() for w in _WORD.findall(x)]) for x in lines):
             out.append(("filler", True, bare))
