@@ -9,9 +9,10 @@ border. Distances are chords between unit vectors, scores cosines in double prec
 `within` searches a fixed radius (a least score); `top` has no radius: a first pass over the own shard
 gives each point the distance of its k-th neighbour there, the second pass looks elsewhere within that.
 
-Nothing grows with the data on one task or the driver: the sample is bounded (about SAMPLE rows, chosen by
-hash), shards take about SHARD_ROWS points (by the sample's medians, so dense regions are split too),
-and a shard's visitors come in blocks of BLOCK_ROWS. Every point is indexed, whatever the sample.
+The sample is bounded (about SAMPLE rows, or SAMPLE_PER_SHARD a shard, up to MOST_SAMPLE; chosen by hash),
+shards take about SHARD_ROWS points (by the sample's medians, so dense regions are split too; more only
+beyond MOST_SAMPLE / SAMPLE_PER_SHARD shards, half a billion points), and a shard's visitors come in
+blocks of BLOCK_ROWS. Every point is indexed, whatever the sample.
 
 Defined results: vectors that are null, of other length, with nulls, NaN or infinities, or all zero are
 not part of the collection, nor are null ids; of an id's differing vectors the smallest counts; equal
@@ -35,7 +36,7 @@ from quillgraph.sources.tables import table
 
 DIM = 64
 K = 5
-SAMPLE = 16_384
+SAMPLE, MOST_SAMPLE, SAMPLE_PER_SHARD = 16_384, 524_288, 64
 SHARD_ROWS = 65_536
 BLOCK_ROWS = 131_072
 LEAF_ROWS = 256
@@ -178,10 +179,11 @@ def neighbours(points: DataFrame, k: int = K, relax: float = RELAX_TOP, least_sc
     """a, b, score: for each point its k most similar others with at least least_score. points: id, vec, staged."""
     spark = points.sparkSession
     n = points.count()
-    shards = min(max(1, SAMPLE // 64), 2 ** max(0, math.ceil(math.log2(max(n, 1) / SHARD_ROWS))))
-    share = min(1.0, SAMPLE / max(n, 1))
+    shards = min(MOST_SAMPLE // SAMPLE_PER_SHARD, 2 ** max(0, math.ceil(math.log2(max(n, 1) / SHARD_ROWS))))
+    size = min(MOST_SAMPLE, max(SAMPLE, SAMPLE_PER_SHARD * shards))
+    share = min(1.0, size / max(n, 1))
     chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40))
-    sample = points.where(chosen).select("vec").limit(2 * SAMPLE).toPandas() if shards > 1 else None
+    sample = points.where(chosen).select("vec").limit(2 * size).toPandas() if shards > 1 else None
     if sample is not None:
         tree, shards = build_tree(_unit(_stack(sample["vec"])).astype(np.float32), math.ceil(len(sample) / shards))
         router = spark.sparkContext.broadcast(tree)
