@@ -41,7 +41,8 @@ LEAST_COSINE = 0.45
 #: A paraphrase shares a common subsequence of this part of the item window's words.
 LEAST_COMMON = 0.75
 MOST_ITEM_WORDS = 2_000_000
-#: Words of documents that a task holds in latent form at once.
+#: Words of documents that a task holds in latent form at once; a multiple of WINDOW, so that pieces of long texts
+#: tile into the same passages.
 WORDS_AT_ONCE = 20_000
 _WORD = re.compile(r"[^\W_]+")
 # Invisible characters that are not of the category Cf.
@@ -118,14 +119,11 @@ def _document_frequencies(docs: DataFrame) -> np.ndarray:
     return _summed(docs.sparkSession, docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), 1)[:, 0]
 
 
-def _gram_times(texts: list[bytes], idf: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
+def _gram_times(arrays: list[np.ndarray], idf: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
     """into += A^T (A basis), where A's rows are the texts' passages of WINDOW words, weighted by idf.
 
     weighted: the basis with its rows times idf. A word's row gets the sum of its passages' images.
     """
-    arrays = [np.frombuffer(x, np.int32) for x in texts]
-    if not arrays:
-        return
     flat = np.concatenate(arrays)
     starts = np.concatenate([off + np.arange(0, len(a), WINDOW) for a, off in zip(arrays, np.cumsum([0, *map(len, arrays)])[:-1], strict=True)])
     passages = np.add.reduceat(weighted[flat], starts, axis=0)
@@ -142,22 +140,25 @@ def _gram(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
         weights, columns = shared.value
         total = np.zeros((BINS, columns.shape[1]))
         for b in batches:
-            for some in _by_words(list(b["bins"])):
-                _gram_times([b["bins"].iloc[i] for i in some], weights, columns, total)
+            for some in _pieces(b["bins"].tolist(), 0):
+                _gram_times([x for _, _, x in some], weights, columns, total)
         yield _blocks(total)
 
     return _summed(docs.sparkSession, docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), basis.shape[1])
 
 
-def _by_words(bins: list[bytes]) -> Iterator[list[int]]:
-    """Indexes in groups of about WORDS_AT_ONCE words; a longer text is a group of its own."""
+def _pieces(bins: list[bytes], overlap: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Groups of about WORDS_AT_ONCE words of (text's index, offset, words); longer texts come in pieces that overlap."""
     some, size = [], 0
     for i, x in enumerate(bins):
-        some.append(i)
-        size += len(x) // 4
-        if size >= WORDS_AT_ONCE:
-            yield some
-            some, size = [], 0
+        array = np.frombuffer(x, np.int32)
+        for at in range(0, max(1, len(array) - overlap), WORDS_AT_ONCE):
+            piece = array[at : at + WORDS_AT_ONCE + overlap]
+            some.append((i, at, piece))
+            size += len(piece)
+            if size >= WORDS_AT_ONCE:
+                yield some
+                some, size = [], 0
     if some:
         yield some
 
@@ -170,8 +171,8 @@ def latent_space(docs: DataFrame, items: list[bytes], rank: int = RANK, seed: in
 
     def gram(basis: np.ndarray, scale: float | None) -> tuple[np.ndarray, float]:
         own = np.zeros_like(basis)
-        for some in _by_words(items):
-            _gram_times([items[i] for i in some], idf, basis, own)
+        for some in _pieces(items, 0):
+            _gram_times([x for _, _, x in some], idf, basis, own)
         corpus = _gram(docs, idf, basis)
         if scale is None:  # equal energy, as the random basis sees it
             scale = float(np.linalg.norm(corpus) / max(np.linalg.norm(own), 1e-12))
@@ -277,9 +278,8 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
         for b in batches:
             out = []
             texts_of, keys, all_bins = b["words"].tolist(), b["id"].tolist(), b["bins"].tolist()
-            for some in _by_words(all_bins):
-                arrays = [np.frombuffer(all_bins[i], np.int32) for i in some]
-                sums = _Sums(space, arrays)
+            for some in _pieces(all_bins, WINDOW):
+                sums = _Sums(space, [x for _, _, x in some])
                 for m, vectors, of, start in by_length:
                     places, text_of, at = sums.windows(m + STRIDE - 1, STRIDE)
                     hits = []
@@ -293,15 +293,16 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
                     first = order[np.r_[True, np.diff(pair[order]) > 0]] if len(order) else order
                     # a text with none of the items' runs of words needs no comparison of words for a copy
                     has: dict[int, bool] = {}
+                    split: dict[int, list[str]] = {}
                     for x in first:
                         i, item = int(text_of[w[x]]), int(of[q[x]])
                         if i not in has:
-                            has[i] = bool(np.isin(_gram_hashes(arrays[i], m), known[m]).any())
-                        words_of = texts_of[some[i]]
+                            has[i] = bool(np.isin(_gram_hashes(some[i][2], m), known[m]).any())
+                        words_of, doc = texts_of[some[i][0]], keys[some[i][0]]
                         if has[i]:
                             whole = f" {words_of} "
                             if any(g in whole for g in grams[item]):
-                                out.append((ids[item], keys[some[i]], "copy", float(score[x]), min(N, len(texts[item]))))
+                                out.append((ids[item], doc, "copy", float(score[x]), min(N, len(texts[item]))))
                                 continue
                         if m < N:
                             continue
@@ -312,10 +313,13 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
                         query, numbers, telling = asked[window]
                         if len(telling) < 3:
                             continue
-                        passage = words_of.split(" ")[at[w[x]] : at[w[x]] + N + STRIDE - 1]
+                        if some[i][0] not in split:
+                            split = {some[i][0]: words_of.split(" ")}  # pairs come text by text
+                        begin = some[i][1] + at[w[x]]
+                        passage = split[some[i][0]][begin : begin + N + STRIDE - 1]
                         there = set(passage)
                         if all(y in there for y in numbers) and 3 * len(telling & there) >= 2 * len(telling) and (shared_words := common_words(query, passage)) >= least_common * N:
-                            out.append((ids[item], keys[some[i]], "paraphrase", float(score[x]), shared_words))
+                            out.append((ids[item], doc, "paraphrase", float(score[x]), shared_words))
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "kind", "score", "common"])
 
     found = docs.mapInPandas(each, schema)
