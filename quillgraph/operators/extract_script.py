@@ -81,8 +81,7 @@ class _Walker:
         self.path, self.facts, self.module = path, facts, module
         self.source = source.split("\n")
         self.t = tokens(source)
-        clean = "/" + re.sub(r"^(?:src/)", "", path)
-        app = re.match(r"/app(/.*)?/route\.\w+$", clean) or re.search(r"/app(/.*)?/route\.\w+$", "/" + path)
+        app = re.search(r"/app(/.*)?/route\.\w+$", "/" + path)
         self.app_route = (app.group(1) or "/") if app else None
         pages = re.search(r"/pages(/api/.*)\.\w+$", "/" + path)
         self.page = re.sub(r"/index$", "", pages.group(1)) if pages else None
@@ -138,8 +137,6 @@ class _Walker:
                 i = self.after(i + 2) if has else i + 2
                 continue
             if t.kind != "name" or (i and self.is_(i - 1, ".")):
-                if t.kind == "punct" and t.text == "{" and i and self.is_(i - 1, "=>"):
-                    pass
                 i += 1
                 continue
             start, doc, exported = i, t.doc, False

@@ -458,3 +458,11 @@ def _extracted(kind: str):
 
 for _kind in ("symbol", "import", "call", "route", "client", "producer", "consumer", "module"):
     QUERIES[f"extract_{_kind}"] = _extracted(_kind)
+
+SQL["extract_module"] = r"""SELECT file_id, workspace_id, repo, path AS file_path, 0 AS seq, 1 AS start_line,
+  replace(regexp_replace(regexp_replace(regexp_replace(path, '^(?:(?:src|lib)/)+', ''), '\.(?:pyi?|tsx?|mts|cts|jsx?|mjs|cjs)$', ''), CASE WHEN lang = 'python' THEN '(?:^|/)__init__$' ELSE '(?:^|/)index$' END, ''), '/', '.') AS fqn,
+  CASE WHEN regexp_matches(path, '(^|/)__init__\.pyi?$') THEN 'package' ELSE 'module' END AS symbol_kind
+FROM (SELECT DISTINCT file_id, workspace_id, repo, repo_relative_path AS path, lang FROM file_record WHERE lang IS NOT NULL) JOIN source_text USING (file_id) WHERE text IS NOT NULL"""
+SQL["symbol_fuzzy"] = r"""WITH s AS (SELECT fqn, repo, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(signature, ''), coalesce(docstring, ''))), '[\p{L}\p{N}_]+'), ' ') || ' ' AS w FROM symbol_def),
+h AS (SELECT fqn, repo, max((length(w) - length(replace(w, ' must hold the ', ' '))) // 14)::DOUBLE AS score FROM s GROUP BY ALL)
+SELECT fqn, repo, score, 'fuzzy' AS match_mode FROM h WHERE score > 0 ORDER BY score DESC, fqn, repo LIMIT 50"""
