@@ -105,12 +105,14 @@ EMPTYSTMT: ;
 ASI: ; | VSEMI
 expr_stmt: expr ASI
 block: { stmt* }
-var_stmt: vkind declarator%, ASI
+var_stmt: vopen declarator%, ASI | const constant%, ASI
+vopen: var | let
 vkind: var | let | const
+constant: binding init
 declarator: binding init?
 init: = assign
 for_stmt: for ( for_init? ; expr? ; expr? ) stmt | for await? ( for_head in expr ) stmt | for await? ( for_head of assign ) stmt
-for_init: vkind declarator%, | expr
+for_init: vopen declarator%, | const constant%, | expr
 for_head: vkind binding | postfix
 switch_stmt: switch ( expr ) { case_clause* }
 case_clause: case expr : stmt* | default : stmt*
@@ -207,6 +209,7 @@ opt: ?
 modifier: public | private | protected | readonly | override | static | abstract | declare | accessor
 annotation: : type_
 declarator: binding annotation init? | binding ! annotation
+constant: binding annotation init?
 catch_part: catch ( binding annotation ) block
 for_head: vkind binding annotation
 member: decorator* modifier+ method | decorator* modifier+ field ASI | decorator* modifier* method_head ASI | modifier* index_signature ASI

@@ -51,6 +51,54 @@ _PY_ENDS = {'"""': re.compile(r'(?:\\.|[^\\"]|"(?!""))*"""', re.S), "'''": re.co
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
+def _check_fields(body: str, line: int) -> None:
+    """The replacement fields of an f-string: balanced, and each an expression; formats are checked likewise."""
+    at = 0
+    while at < len(body):
+        c = body[at]
+        if body.startswith(("{{", "}}"), at):
+            at += 2
+            continue
+        if c == "}":
+            raise Invalid(line, "single } in an f-string")
+        if c != "{":
+            at += 1
+            continue
+        start, depth, spec = at + 1, 0, -1
+        at += 1
+        while at < len(body):
+            c = body[at]
+            if c in "'\"" and spec < 0:
+                quote = c * 3 if body.startswith(c * 3, at) else c
+                closing = _PY_ENDS[quote].match(body, at + len(quote))
+                if closing is None:
+                    raise Invalid(line, "unterminated string in an f-string")
+                at = closing.end()
+                continue
+            if c in "([{":
+                depth += 1
+            elif c == "}" and depth == 0:
+                break
+            elif c in ")]}":
+                depth -= 1
+            elif depth == 0 and spec < 0 and (c == ":" or c == "!" and not body.startswith("!=", at)):
+                spec = at
+            at += 1
+        else:
+            raise Invalid(line, "a field of an f-string isn't closed")
+        expression = body[start : spec if spec >= 0 else at].rstrip()
+        expression = expression[:-1] if expression.endswith("=") and not expression.endswith(("==", "!=", "<=", ">=")) else expression
+        if not expression.strip():
+            raise Invalid(line, "an empty field in an f-string")
+        try:
+            _recognise(grammar("python"), python_tokens(f"({expression}\n)"), False)
+        except Invalid as e:
+            raise Invalid(line, f"in an f-string: {e.reason}") from None
+        if spec >= 0 and ":" in body[spec:at]:
+            _check_fields(body[body.index(":", spec) + 1 : at], line)
+        at += 1
+
+
 def python_tokens(text: str) -> Iterator[tuple[str, int]]:
     """(token, line); raises Invalid."""
     text = text.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
@@ -123,6 +171,8 @@ def python_tokens(text: str) -> Iterator[tuple[str, int]]:
             end = _PY_ENDS[quote].match(text, at)
             if end is None:
                 raise Invalid(line, "unterminated string")
+            if "f" in raw[: len(raw) - len(quote)].lower():
+                _check_fields(text[at : end.end() - len(quote)], line)
             yield "STRING", line
             line += text.count("\n", at, end.end())
             at = end.end()
