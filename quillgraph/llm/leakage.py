@@ -7,6 +7,7 @@ adding up one BINS x RANK matrix per partition. Then every window of every docum
 every window of every item by cosine in the latent space; windows overlap so that any N consecutive
 words of a document lie whole in one of its windows. Candidates are checked: N consecutive words of the
 item in the document are a copy; a long common subsequence with all the item's numbers is a paraphrase.
+All candidate windows of a document and an item are checked, by falling cosine until one passes.
 
 Short items have windows of their own length, also in the documents, so that what surrounds them can't
 outweigh them.
@@ -248,6 +249,24 @@ def _gram_hashes(bins: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def _close(some: list[tuple[int, int, np.ndarray]], text: np.ndarray, at: np.ndarray, items: list[np.ndarray], item: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """Whether at least so many of an item window's N words are among a text window's: a bound of their common subsequence."""
+    wide = N + STRIDE - 1
+    flat = np.concatenate([np.r_[x, np.full(wide, -1, dtype=np.int32)] for _, _, x in some])
+    asked = np.concatenate(items)
+    begin = np.cumsum([0, *(len(x) + wide for _, _, x in some)])[text] + at
+    of = np.cumsum([0, *map(len, items)])[item] + start
+    out = np.zeros(len(at), dtype=bool)
+    for a in range(0, len(at), 65_536):
+        there = flat[begin[a : a + 65_536, None] + np.arange(wide)]
+        words_of = asked[of[a : a + 65_536, None] + np.arange(N)]
+        shared = np.zeros(len(there), dtype=np.int32)
+        for k in range(N):
+            shared += (there == words_of[:, k : k + 1]).any(axis=1)
+        out[a : a + 65_536] = shared >= least
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine: float = LEAST_COSINE, least_common: float = LEAST_COMMON) -> DataFrame:
     """item_id, doc_id, kind (copy or paraphrase), score (best cosine), common (longest common subsequence in words)."""
     spark = documents.sparkSession
@@ -290,21 +309,27 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
                     w, q, score = (np.concatenate([h[k] for h in hits]) for k in range(3))
                     pair = text_of[w].astype(np.int64) * len(ids) + of[q]
                     order = np.lexsort((-score, pair))
-                    first = order[np.r_[True, np.diff(pair[order]) > 0]] if len(order) else order
+                    leads = np.r_[True, np.diff(pair[order]) > 0] if len(order) else np.zeros(0, dtype=bool)
+                    # besides each pair's best, only candidates with enough words in common to pass are looked at
+                    close = _close(some, text_of[w[order]], at[w[order]], own, of[q[order]], start[q[order]], least_common * N) if m == N else np.zeros(len(order), dtype=bool)
+                    kept = leads | close
                     # a text with none of the items' runs of words needs no comparison of words for a copy
                     has: dict[int, bool] = {}
                     split: dict[int, list[str]] = {}
-                    for x in first:
+                    done = False
+                    for x, lead, near in zip(order[kept], leads[kept], close[kept], strict=True):
                         i, item = int(text_of[w[x]]), int(of[q[x]])
-                        if i not in has:
-                            has[i] = bool(np.isin(_gram_hashes(some[i][2], m), known[m]).any())
                         words_of, doc = texts_of[some[i][0]], keys[some[i][0]]
-                        if has[i]:
-                            whole = f" {words_of} "
-                            if any(g in whole for g in grams[item]):
-                                out.append((ids[item], doc, "copy", float(score[x]), min(N, len(texts[item]))))
-                                continue
-                        if m < N:
+                        if lead:
+                            done = False
+                            if i not in has:
+                                has[i] = bool(np.isin(_gram_hashes(some[i][2], m), known[m]).any())
+                            if has[i]:
+                                whole = f" {words_of} "
+                                if any(g in whole for g in grams[item]):
+                                    out.append((ids[item], doc, "copy", float(score[x]), min(N, len(texts[item]))))
+                                    done = True
+                        if done or not near:
                             continue
                         window = (item, int(start[q[x]]))
                         if window not in asked:
@@ -320,6 +345,7 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
                         there = set(passage)
                         if all(y in there for y in numbers) and 3 * len(telling & there) >= 2 * len(telling) and (shared_words := common_words(query, passage)) >= least_common * N:
                             out.append((ids[item], doc, "paraphrase", float(score[x]), shared_words))
+                            done = True  # the pair's candidates come by cosine: the first that passes is its best
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "kind", "score", "common"])
 
     found = docs.mapInPandas(each, schema)

@@ -59,6 +59,16 @@ def test_paraphrase(spark):
     assert [(x["doc_id"], x["kind"]) for x in got] == [(1, "paraphrase")]
 
 
+def test_paraphrase_behind_a_better_candidate(spark):
+    item = "Count the gasket symbols visible to 17 pointer once narrow tracker is loaded with overrides today"
+    other = "Count the gasket symbols visible to 19 pointer once narrow tracker is loaded with overrides today"
+    loose = "Count quiet gasket symbols brown visible to 17 green pointer once seven tracker is loaded"
+    filler = " and then nothing more was said of it by anyone in that house near the old river bank "
+    docs = [(1, other + filler + loose), (2, loose + filler + other), (3, other + filler)]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(5, item)], "item_id bigint, text string")).collect()
+    assert sorted((x["doc_id"], x["kind"]) for x in got) == [(1, "paraphrase"), (2, "paraphrase")]
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert leakage.leaks(docs, items).count() == 0
