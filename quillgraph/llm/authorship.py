@@ -30,9 +30,9 @@ from quillgraph.sources.tables import table
 CONTAINED = 0.7
 #: Files of fewer different lines are too small to tell a copy from a coincidence.
 LEAST_LINES = 8
-#: Of a line's files so many are compared with a file that has it among its rarest; copies that are
-#: equal line by line are one of them.
-HUBS = 50
+#: A line's files are compared with those that have it among their rarest in blocks of about so many, so
+#: that a line of many files is spread over tasks; copies that are equal line by line are one of them.
+BLOCK = 50
 #: Lines of a file's top that its header may take.
 HEADER_LINES = 12
 
@@ -144,7 +144,7 @@ def files(records: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInPandas(each, "file_id bigint, repo string, sign string, lines array<bigint>, class string")
 
 
-def contained(of: DataFrame, share: float = CONTAINED, least_lines: int = LEAST_LINES, hubs: int = HUBS) -> DataFrame:
+def contained(of: DataFrame, share: float = CONTAINED, least_lines: int = LEAST_LINES, block: int = BLOCK) -> DataFrame:
     """class, share: the classes of which a file of another repository holds at least `share`. of: files, staged."""
     sized = of.where(F.size("lines") >= least_lines)
     classes = sized.groupBy("class").agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
@@ -160,16 +160,18 @@ def contained(of: DataFrame, share: float = CONTAINED, least_lines: int = LEAST_
     ahead = F.coalesce(F.sum("w").over(rarest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     ranked = weighed.withColumn("total", total).withColumn("ahead", ahead).withColumn("alone", F.sum(F.when(F.col("df") == 1, F.col("w")).otherwise(0.0)).over(W.partitionBy("class")))
     # beyond (1 - share) of the weight every contained file has shared a line already
-    prefix = ranked.where((F.col("ahead") <= (1 - share) * F.col("total") + 1e-9) & (F.col("alone") <= (1 - share) * F.col("total") + 1e-9) & (F.col("df") > 1)).select("class", "line", "total")
+    prefix = ranked.where((F.col("ahead") <= (1 - share) * F.col("total") + 1e-9) & (F.col("alone") <= (1 - share) * F.col("total") + 1e-9) & (F.col("df") > 1)).select("class", "line", "df", "total")
     wanted = prefix.select("line").distinct()
-    # with fewer than `hubs` classes all are partners; of more those with the smallest hash
-    first = W.partitionBy("line").orderBy(F.xxhash64("other"), "other")
-    partners = weighed.join(wanted, "line", "left_semi").select("line", F.col("class").alias("other")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs).drop("r")
-    pairs = prefix.join(partners, "line").where(F.col("class") != F.col("other")).select("class", "other", "total").distinct()
-    repos = lines.select("class", "low", "high")
-    pairs = pairs.join(repos, "class").join(repos.toDF("other", "other_low", "other_high"), "other")
+    # what a class can hold of others: its lines that others have
+    most = weighed.where(F.col("df") > 1).groupBy("class").agg(F.sum("w").alias("most"))
+    repos = staged(lines.select("class", "low", "high").join(most, "class"), "authorship-classes")
+    blocks = F.ceil(F.col("df") / F.lit(block)).cast("bigint")
+    partners = weighed.join(wanted, "line", "left_semi").select("class", "line", F.pmod(F.xxhash64("class"), blocks).alias("block"))
+    partners = partners.join(repos, "class").select("line", "block", F.col("class").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), "most")
+    looked = prefix.join(repos.drop("most"), "class").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    pairs = looked.join(partners, ["line", "block"]).where((F.col("class") != F.col("other")) & (F.col("most") >= share * F.col("total") - 1e-6))
     # there must be a file of each in different repositories
-    pairs = pairs.where((F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))).select("class", "other", "total")
+    pairs = pairs.where((F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))).select("class", "other", "total").distinct()
     mine = pairs.join(weighed.select("class", "line", "w"), "class")
     both = mine.join(weighed.select(F.col("class").alias("other"), "line"), ["other", "line"])
     held = both.groupBy("class", "other", "total").agg((F.sum("w") / F.col("total")).alias("share")).where(F.col("share") >= share)

@@ -70,6 +70,16 @@ def test_containment(spark):
     assert got == {100, 101, 102, 120, 121, *range(200, 280)}
 
 
+def test_containment_of_lines_in_many_files(spark):
+    rng = random.Random(9)
+    library = lines(rng, 12)
+    body = {i: [*library, *lines(rng, 10)] for i in range(400)} | {500: library, 501: [*library, *lines(rng, 2)]}
+    records = [(i, "w", "r2" if i == 501 else "r1", "src/a.py", "python") for i in body]
+    texts = spark.createDataFrame([(i, "\n".join(x)) for i, x in body.items()], "file_id bigint, text string")
+    found = au.not_by_hand(spark.createDataFrame(records, "file_id bigint, workspace_id string, repo string, repo_relative_path string, lang string"), texts).collect()
+    assert [(x["file_id"], x["kind"]) for x in found] == [(500, "vendored")]
+
+
 def test_nulls_and_empty(spark):
     schema = "file_id bigint, workspace_id string, repo string, repo_relative_path string"
     texts = spark.createDataFrame([(1, None), (2, ""), (3, "x = 1"), (5, "y\n" * 100_000)], "file_id bigint, text string")
