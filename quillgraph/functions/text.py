@@ -19,6 +19,13 @@ def normalize_path(path: Column) -> Column:
     return F.when(path == "", path).when(out == "/", out).otherwise(F.regexp_replace(out, "/$", ""))
 
 
+def language_of(lang: Column, path: Column) -> Column:
+    """The language as given; where it is null, that of the path's suffix."""
+    suffix = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([A-Za-z]+)$", 1))
+    by_suffix = F.when(suffix.isin("py", "pyi"), "python").when(suffix.isin("ts", "tsx", "mts", "cts"), "typescript").when(suffix.isin("js", "jsx", "mjs", "cjs"), "javascript")
+    return F.coalesce(lang, by_suffix)
+
+
 def path_segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 

@@ -19,9 +19,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import language_of
 from quillgraph.llm import grammars
 from quillgraph.llm.glr import Grammar
 from quillgraph.sources.tables import table
@@ -364,12 +365,6 @@ def first_error(text: str | None, language: str) -> tuple[int, str] | None:
 LANGUAGES = ("python", "typescript", "javascript")
 
 
-def language_of(lang: Column, path: Column) -> Column:
-    suffix = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([A-Za-z]+)$", 1))
-    by_suffix = F.when(suffix.isin("py", "pyi"), "python").when(suffix.isin("ts", "tsx", "mts", "cts"), "typescript").when(suffix.isin("js", "jsx", "mjs", "cjs"), "javascript")
-    return F.coalesce(lang, by_suffix)
-
-
 def judged(records: DataFrame, texts: DataFrame) -> DataFrame:
     """file_id, workspace_id, repo, language, line, reason: the files of known language, line null if valid."""
     language = language_of(F.col("lang"), F.col("repo_relative_path"))

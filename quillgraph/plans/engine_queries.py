@@ -442,8 +442,10 @@ def symbols_by_kind(spark, d):
 # ---- extraction -----------------------------------------------------------------------------------
 
 
-def _sources(spark, d):
-    one = t(spark, d, "file_record").where("file_id IS NOT NULL AND lang IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("workspace_id", "repo", F.col("repo_relative_path").alias("file_path"), "lang")).alias("f")).select("file_id", "f.*")
+def _sources(spark, d, kind: str):
+    # the SQL of extract_module takes only files whose language is given
+    lang = F.col("lang") if kind == "module" else fn.language_of(F.col("lang"), F.col("repo_relative_path"))
+    one = t(spark, d, "file_record").withColumn("lang", lang).where("file_id IS NOT NULL AND lang IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("workspace_id", "repo", F.col("repo_relative_path").alias("file_path"), "lang")).alias("f")).select("file_id", "f.*")
     return one.join(t(spark, d, "source_text"), "file_id")
 
 
@@ -451,7 +453,7 @@ def _extracted(kind: str):
     def run(spark, d):
         from quillgraph.operators import extract
 
-        return extract.facts_of(extract.extract(_sources(spark, d)), kind)
+        return extract.facts_of(extract.extract(_sources(spark, d, kind)), kind)
 
     return run
 

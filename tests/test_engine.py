@@ -179,3 +179,13 @@ def test_count_cache():
 def test_property_fold(spark):
     rows = spark.createDataFrame([("A", "x", ["Long"], True), ("A", "x", ["String", "Long"], False), ("B", "y", ["Long"], True)], "label string, property string, types array<string>, mandatory boolean")
     assert {(x[0], x[1], tuple(x[2]), x[3]) for x in catalog.fold_properties(rows).collect()} == {("A", "x", ("Long", "String"), False), ("B", "y", ("Long",), True)}
+
+
+def test_extraction_of_files_without_language(spark, tmp_path):
+    from quillgraph.plans.engine_queries import QUERIES
+
+    records = [(1, "w", "r", "a.py", None), (2, "w", "r", "b.ts", None), (3, "w", "r", "c.py", "python"), (4, "w", "r", "d.md", None), (5, "w", "r", None, None)]
+    spark.createDataFrame(records, "file_id bigint, workspace_id string, repo string, repo_relative_path string, lang string").write.parquet(f"{tmp_path}/file_record.parquet")
+    texts = [(1, "def f(): pass\n"), (2, "function g() {}\n"), (3, "def h(): pass\n"), (4, "def i(): pass\n"), (5, "def j(): pass\n")]
+    spark.createDataFrame(texts, "file_id bigint, text string").write.parquet(f"{tmp_path}/source_text.parquet")
+    assert {x["file_id"] for x in QUERIES["extract_symbol"](spark, str(tmp_path)).collect()} == {1, 2, 3}
