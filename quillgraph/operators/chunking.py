@@ -95,8 +95,8 @@ def hash_embedding(text: str | None, dim: int = DIM) -> list[float]:
 PROVIDERS: dict[str, Callable[[list[str]], list[list[float]]]] = {"hash": lambda texts: [hash_embedding(t) for t in texts]}
 
 
-def embed(chunks: DataFrame, text: str = "text", provider: str | Callable = "hash", dim: int = DIM, batch: int = BATCH, most_chars: int = 120_000) -> DataFrame:
-    """chunks with `embedding`: by batches; a batch that fails, or vectors of wrong length, give null."""
+def embed(chunks: DataFrame, text: str = "text", provider: str | Callable = "hash", dim: int = DIM, batch: int = BATCH, most_chars: int = 0) -> DataFrame:
+    """chunks with `embedding`: by batches; a batch that fails, or vectors of wrong length, give null. most_chars 0: whole texts."""
     call = PROVIDERS[provider] if isinstance(provider, str) else provider
 
     def one(texts: list[str]) -> list:

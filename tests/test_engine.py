@@ -189,3 +189,9 @@ def test_extraction_of_files_without_language(spark, tmp_path):
     texts = [(1, "def f(): pass\n"), (2, "function g() {}\n"), (3, "def h(): pass\n"), (4, "def i(): pass\n"), (5, "def j(): pass\n")]
     spark.createDataFrame(texts, "file_id bigint, text string").write.parquet(f"{tmp_path}/source_text.parquet")
     assert {x["file_id"] for x in QUERIES["extract_symbol"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_embedding_of_whole_texts(spark):
+    rows = spark.createDataFrame([(1, "a " * 70_000), (2, "a " * 70_000 + "tail")], "chunk_id bigint, text string")
+    first, second = (x["embedding"] for x in chunking.embed(rows).orderBy("chunk_id").collect())
+    assert first != second
