@@ -5,7 +5,7 @@ range and period one bitmap holds the keys that are referenced, one the keys of
 lives through the whole period. reference AND NOT parent leaves the keys that may be orphans in that
 period; only their references are decoded and checked exactly against the records' lifetimes.
 
-Defined results: a null, empty or <...> name is no reference; a null workspace or repository finds no
+Defined results: a null or empty name is no reference, nor is one that begins with <...>; a null workspace or repository finds no
 record (`missing`); re-delivered rows count once; a null seen_at lives in no record's time, so it gives
 `late` or `missing`; records without indexed_at never live; columns not named here are dropped; empty
 tables give an empty result, or `missing` for all where only the records are empty.
@@ -23,6 +23,8 @@ from quillgraph.session import staged
 KEY = ["workspace_id", "scope", "fqn"]
 #: A scope that is any repository of the workspace.
 ANYWHERE = "*"
+#: A name that begins so stands for something without a name of its own, as <dynamic> or <inline>@file:line.
+SENTINEL = "^<[^<>]*>"
 #: Ids of one key range: the range's number is above these bits, the rank within the range below.
 RANGE_BITS = 40
 
@@ -35,7 +37,7 @@ def references(calls: DataFrame, imports: DataFrame, flows: DataFrame) -> DataFr
         scope = F.concat(F.lit("="), F.col(repo)) if repo else F.lit(ANYWHERE)
         # a null key part becomes a value that no record has
         one = df.select(F.lit(name).alias("ref_table"), F.col(key).alias("ref_id"), F.coalesce("workspace_id", F.lit("\0")).alias("workspace_id"), F.coalesce(scope, F.lit("\0")).alias("scope"), F.col(fqn).alias("fqn"), "seen_at")
-        one = one.where(F.col("fqn").isNotNull() & (F.col("fqn") != "") & ~F.col("fqn").rlike(r"(?s)^<.*>$"))
+        one = one.where(F.col("fqn").isNotNull() & (F.col("fqn") != "") & ~F.col("fqn").rlike(SENTINEL))
         out = one if out is None else out.unionByName(one)
     return out
 

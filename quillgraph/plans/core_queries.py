@@ -55,7 +55,7 @@ WITH refs AS (
   SELECT DISTINCT 'resolved_call' AS ref_table, call_id AS ref_id, workspace_id, callee_repo AS repo, callee_fqn AS fqn, seen_at FROM resolved_call
   UNION ALL SELECT DISTINCT 'import_ref', import_id, workspace_id, NULL, resolved_fqn, seen_at FROM import_ref
   UNION ALL SELECT DISTINCT 'http_flow_edge', flow_id, workspace_id, route_repo, route_handler_fqn, seen_at FROM http_flow_edge),
-r AS (SELECT * FROM refs WHERE fqn IS NOT NULL AND fqn <> '' AND NOT (fqn LIKE '<%' AND fqn LIKE '%>')),
+r AS (SELECT * FROM refs WHERE fqn IS NOT NULL AND fqn <> '' AND NOT regexp_matches(fqn, '^<[^<>]*>')),
 j AS (SELECT r.ref_table, r.ref_id, r.seen_at, count(s.fqn) AS n,
   count(CASE WHEN s.indexed_at <= r.seen_at AND (s.deleted_at IS NULL OR s.deleted_at > r.seen_at) THEN 1 END) AS alive,
   count(CASE WHEN s.indexed_at <= r.seen_at THEN 1 END) AS before

@@ -16,7 +16,7 @@ def brute(calls, imports, flows, symbols):
     out = set()
     refs = [("resolved_call", c[0], c[1], c[2], c[3], c[4], False) for c in calls] + [("import_ref", c[0], c[1], None, c[2], c[3], True) for c in imports] + [("http_flow_edge", c[0], c[1], c[2], c[3], c[4], False) for c in flows]
     for name, i, ws, repo, fqn, seen, anywhere in refs:
-        if not fqn or (fqn.startswith("<") and fqn.endswith(">")):
+        if not fqn or (fqn.startswith("<") and ">" in fqn):
             continue
         own = [s for s in symbols if s[0] is not None and s[0] == ws and s[2] == fqn and s[1] is not None and (anywhere or s[1] == repo)]
         born = [s for s in own if s[3] and seen and s[3] <= seen]
@@ -33,7 +33,7 @@ def build(spark, calls, imports, flows, symbols):
 def test_random_tables_against_brute_force(spark):
     rng = random.Random(3)
     day = lambda: T0 + timedelta(days=rng.randrange(200), hours=rng.choice([0, 0, 7]))
-    names = [f"m.f{i}" for i in range(12)] + ["", None, "<dynamic>"]
+    names = [f"m.f{i}" for i in range(12)] + ["", None, "<dynamic>", "<inline>@a/b.js:3"]
     symbols = []
     for _ in range(60):
         born = day()
@@ -65,3 +65,9 @@ def test_empty_and_clashing(spark):
     refs, table = build(spark, [(1, "w", "r", "f" * 10_000, T0, None)], [], [], [])
     refs = refs.withColumn("born", F.lit(0))
     assert [tuple(x)[:3] for x in orphans(refs.drop("born"), table.withColumn("scope", F.lit(1)).withColumn("period", F.lit(1))).collect()] == [("resolved_call", 1, "missing")]
+
+
+def test_inline_handlers_are_no_references(spark):
+    names = ["<inline>@a/b.js:3", "<dynamic>", "<>", "<open", "a<b>", ""]
+    refs, table = build(spark, [], [], [(i, "w", "r", n, T0, None) for i, n in enumerate(names)], [])
+    assert {x["ref_id"] for x in orphans(refs, table).collect()} == {3, 4}
