@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
+from pyspark.sql import functions as F
+
 from quillgraph.operators import change_capture, orphan_refs
+from quillgraph.session import shared_folder
 from quillgraph.sources.tables import table
 
 
@@ -10,6 +16,27 @@ def p1_found(spark, folder):
     return change_capture.changed_files(table(spark, folder, "file_diff"), table(spark, folder, "index_run"))
 
 
+def p1_replayed(spark, folder):
+    """p1_found in three increments, with failures: the first is lost after its plan, the second before its commit,
+    the third is given again, and every third report is delivered twice."""
+    diffs, runs = table(spark, folder, "file_diff"), table(spark, folder, "index_run")
+    twice = diffs.where("diff_id % 3 = 0").withColumn("arrived_at", F.expr("arrived_at + INTERVAL 5 DAYS"))
+    log, ok = change_capture.reports(diffs.unionByName(twice)), change_capture.successful_runs(runs)
+    capture = change_capture.file_capture(spark, f"{shared_folder(spark)}/stage/replayed-{uuid.uuid4().hex}")
+    cuts = ok.agg(F.expr("percentile_approx(started_at, array(0.4D, 0.7D))")).first()[0] or []
+    for cut, lost in zip([*cuts, None], ["plan", "sink", ""], strict=False):
+        known = (log, ok) if cut is None else (log.where(F.col("arrived_at") <= F.lit(cut)), ok.where(F.col("started_at") <= F.lit(cut)))
+
+        def fail(point, n, lost=lost):
+            if point == lost:
+                raise InterruptedError(lost)
+
+        with contextlib.suppress(InterruptedError):
+            capture.advance(*known, fail)
+        capture.advance(*known)
+    return change_capture.changes(capture)
+
+
 def p1_plan(spark, folder):
     return change_capture.plan_batches(table(spark, folder, "file_diff"), table(spark, folder, "index_run"))
 
@@ -50,6 +77,7 @@ n AS (SELECT ok.run_id, count(*) AS reports FROM d ASOF JOIN ok ON d.workspace_i
 SELECT ok.run_id, workspace_id, repo_name, lag(started_at) OVER (PARTITION BY workspace_id, repo_name ORDER BY started_at, run_id) AS after,
   started_at AS upto, coalesce(reports, 0) AS reports FROM ok LEFT JOIN n USING (run_id)""",
 }
+SQL["p1_replayed"] = SQL["p1_found"]
 _P5 = """
 WITH refs AS (
   SELECT DISTINCT 'resolved_call' AS ref_table, call_id AS ref_id, workspace_id, callee_repo AS repo, callee_fqn AS fqn, seen_at FROM resolved_call
@@ -69,4 +97,4 @@ o AS (SELECT ref_table, date_trunc('month', seen_at)::DATE AS period, count(CASE
   count(CASE WHEN reason = 'deleted' THEN 1 END) AS deleted, count(CASE WHEN reason = 'late' THEN 1 END) AS late FROM f GROUP BY ALL)
 SELECT ref_table, period, refs, coalesce(missing, 0) AS missing, coalesce(deleted, 0) AS deleted, coalesce(late, 0) AS late FROM b LEFT JOIN o USING (ref_table, period)"""
 )
-QUERIES = {"p1_found": p1_found, "p1_plan": p1_plan, "p5_found": p5_found, "p5_rates": p5_rates}
+QUERIES = {"p1_found": p1_found, "p1_replayed": p1_replayed, "p1_plan": p1_plan, "p5_found": p5_found, "p5_rates": p5_rates}

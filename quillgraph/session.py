@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,18 +31,29 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, on one machine a folder of our own, gone with the process;
+    on a cluster an error, as executors don't share a machine's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quillgraph-')}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="quillgraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def clear_stage(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the shared folder: for when the results that read them have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stage")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
-    It cuts the lineage, is computed once however often it is read, and outlives executors.
+    It cuts the lineage, is computed once however often it is read, and outlives executors. See clear_stage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
 
-from quillgraph.operators.change_capture import Capture, changed_files, plan_batches
+from quillgraph.operators.change_capture import changed_files, changes, file_capture, plan_batches, reports, successful_runs
 
 DIFF = "diff_id bigint, workspace_id string, repo_name string, observed_at timestamp_ntz, arrived_at timestamp_ntz, changed_paths array<string>, deleted_paths array<string>, new_hashes map<string,string>"
 RUN = "run_id bigint, workspace_id string, repo_name string, started_at timestamp_ntz, finished_at timestamp_ntz, status string"
@@ -75,21 +76,74 @@ def test_plan_and_clashing_columns(spark):
     assert plan == {1: (None, at(2), 1), 4: (at(2), at(900), 1)}
 
 
-def test_capture_replays_and_never_doubles(spark, tmp_path):
-    log = lambda n: spark.range(n).selectExpr("id % 3 AS part", "id AS off", "id % 5 AS k", "concat('v', id) AS v")
-    capture = Capture(spark, f"file://{tmp_path}/state", ["part"], "off", ["part", "k"])
-    assert capture.run(log(10)) == [0]
-
-    def broken(df):
-        raise RuntimeError("lost")
-
-    with pytest.raises(RuntimeError):
-        capture.run(log(20), broken)
-    assert '"pending": [1]' in capture.log()
-    # more has come since, but the pending batch keeps its ranges
-    assert capture.run(log(30)) == [1, 2]
-    rows = capture.sink().select("off", "batch").collect()
-    assert sorted(x["off"] for x in rows) == list(range(30))
-    assert {x["batch"] for x in rows if 10 <= x["off"] < 20} == {1}
-    assert capture.run(log(30)) == [3]
-    assert capture.sink().count() == 30
+class Lost(Exception):
+    pass
+
+
+def lose(at_point):
+    def reached(point, n):
+        if point == at_point:
+            raise Lost
+
+    return reached
+
+
+def result(capture):
+    rows = [tuple(x) for x in changes(capture).collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def inputs(spark, diffs, runs):
+    return reports(spark.createDataFrame(diffs, DIFF)), successful_runs(spark.createDataFrame(runs, RUN))
+
+
+@pytest.mark.parametrize("point", ["plan", "sink"])
+def test_a_lost_batch_is_replayed_with_its_old_ranges(spark, tmp_path, point):
+    diffs = [d(1, 0, 1, {"a": "1", "b": "1"}), d(2, 2, 3, {"a": "2"}, ["b"]), d(3, 5, 6, {"c": "1"})]
+    runs = [r(1, 1), r(2, 4), r(3, 7)]
+    capture = file_capture(spark, f"file://{tmp_path}/state")
+    assert capture.advance(*inputs(spark, diffs[:1], runs[:1])) == [0]
+    with pytest.raises(Lost):
+        capture.advance(*inputs(spark, diffs[:2], runs[:2]), lose(point))
+    assert '"pending": [1]' in capture.status()
+    assert result(capture) == brute(diffs, runs[:1])
+    # more has come since: the pending batch keeps its range, the rest is a batch of its own
+    assert capture.advance(*inputs(spark, diffs, runs)) == [1, 2]
+    assert result(capture) == brute(diffs, runs)
+    assert capture.advance(*inputs(spark, diffs, runs)) == []
+    assert result(capture) == brute(diffs, runs)
+
+
+def test_delivered_again_and_late_rows(spark, tmp_path):
+    diffs = [d(1, 0, 1, {"a": "1"}), d(2, 2, 3, {"b": "1"})]
+    runs = [r(1, 1), r(2, 4), r(3, 2000), r(4, 3000)]
+    capture = file_capture(spark, f"file://{tmp_path}/state")
+    capture.advance(*inputs(spark, diffs, runs[:2]))
+    # 1 comes again; 3 was missed: it claims to have come before run 2, but appears only now
+    late = [d(1, 0, 900, {"a": "1"}), d(3, 1, 2, {"c": "1"}), d(4, 1, 2, {"b": "0"})]
+    capture.advance(*inputs(spark, diffs + late, runs[:3]))
+    assert result(capture) == {(1, "a", "changed"), (2, "b", "changed"), (3, "c", "changed")}
+    capture.compact()
+    capture.advance(*inputs(spark, diffs + late + [d(5, 2500, 2500, None, ["a"])], runs))
+    assert result(capture) == {(1, "a", "changed"), (2, "b", "changed"), (3, "c", "changed"), (4, "a", "deleted")}
+
+
+def test_a_batch_reads_only_its_own_parts_and_range(spark, tmp_path):
+    diffs = [d(1, 0, 1, {"a": "1"}), d(2, 0, 1, {"a": "1"}, repo="x"), d(3, 4000, 4001, {"b": "1"})]
+    capture = file_capture(spark, f"file://{tmp_path}/state")
+    capture.advance(*inputs(spark, diffs[:2], [r(1, 1), r(2, 1, repo="x")]))
+    capture.advance(*inputs(spark, diffs, [r(1, 1), r(2, 1, repo="x"), r(3, 4002)]))
+    plan = spark.read.parquet(f"file://{tmp_path}/state/plans/1/ranges").collect()
+    assert [(x["run_id"], x["after"], x["low"]) for x in plan] == [(3, at(1), at(1))]
+    assert len(list((tmp_path / "state/sink/batch=1").glob("part=*"))) == 1
+
+
+def test_increments_equal_the_whole(spark, tmp_path):
+    rng = random.Random(5)
+    diffs = [d(i, s := rng.randrange(3000), s + rng.choice([0, 1, 400]), {p: rng.choice("123") for p in rng.sample("abcdef", 2)}, rng.sample("abcdef", 1), repo=rng.choice("rrq")) for i in range(120)]
+    runs = [r(i, 30 * i, rng.choice(["ok", "ok", "failed", None]), repo=rng.choice("rq")) for i in range(110)]
+    capture = file_capture(spark, f"file://{tmp_path}/state")
+    for h in (900, 2100, 9000):
+        capture.advance(*inputs(spark, [x for x in diffs if x[4] <= at(h)], [x for x in runs if x[3] <= at(h)]))
+    assert result(capture) == brute(diffs, runs)
