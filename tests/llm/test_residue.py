@@ -41,3 +41,22 @@ def test_nulls_and_empty(spark):
     rows = [(1, "404 Not Found", None, None), (1, "404 Not Found", None, None), (None, "404 Not Found", "w", "r")]
     assert [x["doc_id"] for x in residue.residue(spark.createDataFrame(rows, schema)).collect()] == [1]
     assert residue.residue(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_responses_are_learned(spark):
+    """No phrase of the detectors is in this sentence: it is known from the forms in which it stands."""
+    said = "Der Betrachter von {} muss zuvor freigegeben werden."
+    texts = [f"<noscript>{said.format('Alpha')}</noscript>", f"Error 503: {said.format('Beta')}", f"Gamma\n\n{said.format('Gamma')}\n\nHome | Docs | Status", said.format("Delta"), f'Die Seite meldete "{said.format("Eta")}" und wurde erneut geladen.']
+    prose = "Wir haben {} Zeilen gelesen. " + "Der Abgleich von {} läuft jede Nacht. Danach folgt der Bericht über die Rollen."
+    texts += [prose.format(i, "Zeta") for i in range(6)] + ["Error 500: Der Abgleich von Theta läuft jede Nacht."] * 2
+    # what is seen in prose more often than in forms isn't learned, though the forms themselves are found
+    assert run(spark, texts) == {0, 1, 2, 3, 11, 12}
+
+
+def test_shape():
+    assert residue.shape("Für Alpha müssen 3 Skripte") == "# müssen #" and residue.shape("") == ""
+    assert residue.shape("Sign in at /a/b.") == residue.shape("Log in at /c.")
+
+
+def test_numbered_filler(spark):
+    assert run(spark, ["Part 1\nWords of part.\n".replace("Words of part", "Words of part 1") + "Part 2\nWords of part 2.", "Part 1\nWords of part 2\nIt took 3 of them\nand then 4."]) == {0}
