@@ -3,14 +3,16 @@
 Words are hashed into BINS columns and weighted by inverse document frequency over all documents. A
 distributed randomised SVD of the TF-IDF passages (corpus passages, and the items' own at equal energy,
 so that the latent space spans what is searched for) gives a basis of RANK columns: two passes, each
-adding up one BINS x RANK matrix per partition. Then every window of every document is compared with
-every window of every item by cosine in the latent space; windows overlap so that any N consecutive
-words of a document lie whole in one of its windows. Candidates are checked: N consecutive words of the
-item in the document are a copy; a long common subsequence with all the item's numbers is a paraphrase.
-All candidate windows of a document and an item are checked, by falling cosine until one passes.
+adding up one BINS x RANK matrix per partition, in groups of at most FAN. The items' windows are kept in
+inverted lists around the centres of a clustering; every window of every document looks into the PROBES
+lists whose centres are nearest and takes the item windows of at least LEAST_COSINE as candidates. Windows
+overlap so that any N consecutive words of a document lie whole in one of its windows. A candidate passes
+with a long common subsequence; then N consecutive words of the item in the document are a copy, and else
+all the item's numbers and most of its telling words in the passage a paraphrase. All candidate windows of a
+document and an item are checked, by falling cosine until one passes.
 
-Short items have windows of their own length, also in the documents, so that what surrounds them can't
-outweigh them.
+Short items have windows of about their own length (GROUPS), also in the documents, so that what surrounds
+them can't outweigh them.
 
 Defined results: null or wordless texts match nothing; an item of fewer than N words has to occur whole;
 null ids are left out; re-delivered documents or items count once (rows are distinct); extra columns are
@@ -19,6 +21,7 @@ ignored; empty tables give an empty result. Items are a fixed, small set: at mos
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -42,6 +45,12 @@ LEAST_COSINE = 0.45
 #: A paraphrase shares a common subsequence of this part of the item window's words.
 LEAST_COMMON = 0.75
 MOST_ITEM_WORDS = 2_000_000
+#: Lists looked into, of twice the root of the number of item windows; so few windows need no lists.
+PROBES, FEW_WINDOWS = 8, 256
+#: Lengths of items that share the length of their windows.
+GROUPS = (3, 6, 9, 12, N)
+#: Matrices that one task adds up.
+FAN = 32
 #: Words of documents that a task holds in latent form at once; a multiple of WINDOW, so that pieces of long texts
 #: tile into the same passages.
 WORDS_AT_ONCE = 20_000
@@ -86,27 +95,34 @@ def prepared(texts: DataFrame, key: str) -> DataFrame:
     return rows.mapInPandas(each, "id bigint, words string, bins binary").where("words <> ''")
 
 
-def _summed(spark, parts: DataFrame, width: int) -> np.ndarray:
+def _summed(parts: DataFrame, partitions: int, width: int) -> np.ndarray:
     """The sum over all partitions of a BINS x width matrix that each yields as rows of 1024 bins."""
 
-    def add(_, b: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float64) for x in b["data"])
-        return pd.DataFrame({"at": b["at"].iloc[:1], "data": [total.tobytes()]})
-
-    # two levels, so that a task adds up a bounded number of blocks
-    some = parts.groupBy("at", "salt").applyInPandas(lambda b: add(None, b), "at int, data binary")
-    rows = some.groupBy("at").applyInPandas(lambda b: add(None, b), "at int, data binary").toPandas().sort_values("at")
+    def add(b: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(1024 * width)
+        for x in b["data"]:
+            total += np.frombuffer(x, np.float32)
+        return pd.DataFrame({"at": b["at"].iloc[:1], "salt": b["salt"].iloc[:1] // FAN, "data": [total.astype(np.float32).tobytes()]})
+
+    # a tree, so that a task adds up at most FAN blocks however many partitions there are
+    some = parts
+    while True:
+        some = some.groupBy("at", "salt").applyInPandas(add, "at int, salt int, data binary")
+        if (partitions := math.ceil(partitions / FAN)) <= 1:
+            break
+    rows = some.toPandas().sort_values("at")  # BINS / 1024 rows
     if not len(rows):
         return np.zeros((BINS, width))
-    return np.concatenate([np.frombuffer(x, np.float64) for x in rows["data"]]).reshape(BINS, width)
+    return np.concatenate([np.frombuffer(x, np.float32) for x in rows["data"]]).astype(np.float64).reshape(BINS, width)
 
 
 def _blocks(matrix: np.ndarray) -> pd.DataFrame:
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    salt = (context.partitionId() if context else 0) // 32
-    return pd.DataFrame({"at": np.arange(BINS // 1024, dtype=np.int32), "salt": np.int32(salt), "data": [matrix[a : a + 1024].tobytes() for a in range(0, BINS, 1024)]})
+    salt = (context.partitionId() if context else 0) // FAN
+    narrow = matrix.astype(np.float32)
+    return pd.DataFrame({"at": np.arange(BINS // 1024, dtype=np.int32), "salt": np.int32(salt), "data": [narrow[a : a + 1024].tobytes() for a in range(0, BINS, 1024)]})
 
 
 def _document_frequencies(docs: DataFrame) -> np.ndarray:
@@ -117,7 +133,7 @@ def _document_frequencies(docs: DataFrame) -> np.ndarray:
                 total[np.unique(np.frombuffer(x, np.int32)), 0] += 1
         yield _blocks(total)
 
-    return _summed(docs.sparkSession, docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), 1)[:, 0]
+    return _summed(docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), docs.rdd.getNumPartitions(), 1)[:, 0]
 
 
 def _gram_times(arrays: list[np.ndarray], idf: np.ndarray, weighted: np.ndarray, into: np.ndarray) -> None:
@@ -145,7 +161,7 @@ def _gram(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
                 _gram_times([x for _, _, x in some], weights, columns, total)
         yield _blocks(total)
 
-    return _summed(docs.sparkSession, docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), basis.shape[1])
+    return _summed(docs.select("bins").mapInPandas(each, "at int, salt int, data binary"), docs.rdd.getNumPartitions(), basis.shape[1])
 
 
 def _pieces(bins: list[bytes], overlap: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -215,6 +231,48 @@ class _Sums:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), of, start
 
 
+class Lists:
+    """Item windows in inverted lists around the centres of a spherical clustering."""
+
+    def __init__(self, vectors: np.ndarray, seed: int = 5):
+        n = len(vectors)
+        self.vectors = vectors
+        if n <= FEW_WINDOWS:
+            self.centres, self.members = None, [np.arange(n)]
+            return
+        rng = np.random.default_rng(seed)
+        centres = vectors[rng.choice(n, 2 * math.ceil(math.sqrt(n)), replace=False)]
+        for _ in range(8):
+            nearest = np.concatenate([(vectors[a : a + 8192] @ centres.T).argmax(1) for a in range(0, n, 8192)])
+            total = np.zeros_like(centres)
+            np.add.at(total, nearest, vectors)
+            norm = np.linalg.norm(total, axis=1, keepdims=True)
+            centres = np.where(norm > 0, total / np.maximum(norm, 1e-9), centres)
+        self.centres = centres
+        self.members = [np.flatnonzero(nearest == c) for c in range(len(centres))]
+
+    def close(self, places: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, window, cosine) of at least `least` in the PROBES lists nearest to each place."""
+        hits = []
+        for a in range(0, len(places), 4096):
+            some = places[a : a + 4096]
+            if self.centres is None:
+                s = some @ self.vectors.T
+                w, q = np.nonzero(s >= least)
+                hits.append((w + a, q, s[w, q]))
+                continue
+            lists = np.argpartition(some @ -self.centres.T, PROBES - 1, axis=1)[:, :PROBES].ravel()
+            order = np.argsort(lists, kind="stable")
+            ends = np.searchsorted(lists[order], np.arange(len(self.members) + 1))
+            for c, own in enumerate(self.members):
+                who = order[ends[c] : ends[c + 1]] // PROBES
+                if len(who) and len(own):
+                    s = some[who] @ self.vectors[own].T
+                    w, q = np.nonzero(s >= least)
+                    hits.append((who[w] + a, own[q], s[w, q]))
+        return tuple(np.concatenate([h[k] for h in hits]) if hits else np.empty(0, (np.int64, np.int64, np.float32)[k]) for k in range(3))
+
+
 def common_words(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, by bit vectors."""
     at: dict[str, int] = {}
@@ -237,39 +295,30 @@ def _rare_words(texts: list[list[str]]) -> set[str]:
     return {w for w, n in count.items() if n <= max(1, len(texts) / 8)}
 
 
-def _gram_hashes(bins: np.ndarray, m: int) -> np.ndarray:
-    """A hash of every run of m words: equal runs have equal hashes."""
-    n = len(bins) - m + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(m):
-            out = out * np.uint64(1_099_511_628_211) + bins[k : k + n].astype(np.uint64) + np.uint64(1)
-    return out
-
-
-def _close(some: list[tuple[int, int, np.ndarray]], text: np.ndarray, at: np.ndarray, items: list[np.ndarray], item: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
-    """Whether at least so many of an item window's N words are among a text window's: a bound of their common subsequence."""
-    wide = N + STRIDE - 1
+def _close(some: list[tuple[int, int, np.ndarray]], text: np.ndarray, at: np.ndarray, wide: int, items: list[np.ndarray], item: np.ndarray, start: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray:
+    """Whether at least this part of an item window's words is among a text window's: a bound of their common subsequence."""
+    narrow = int(lengths.max()) if len(lengths) else 0
     flat = np.concatenate([np.r_[x, np.full(wide, -1, dtype=np.int32)] for _, _, x in some])
-    asked = np.concatenate(items)
+    asked = np.concatenate([np.r_[x, np.full(narrow, -2, dtype=np.int32)] for x in items])
     begin = np.cumsum([0, *(len(x) + wide for _, _, x in some)])[text] + at
-    of = np.cumsum([0, *map(len, items)])[item] + start
+    of = np.cumsum([0, *(len(x) + narrow for x in items)])[item] + start
     out = np.zeros(len(at), dtype=bool)
     for a in range(0, len(at), 65_536):
         there = flat[begin[a : a + 65_536, None] + np.arange(wide)]
-        words_of = asked[of[a : a + 65_536, None] + np.arange(N)]
+        words_of = asked[of[a : a + 65_536, None] + np.arange(narrow)]
         shared = np.zeros(len(there), dtype=np.int32)
-        for k in range(N):
+        for k in range(narrow):
             shared += (there == words_of[:, k : k + 1]).any(axis=1)
-        out[a : a + 65_536] = shared >= least
+        out[a : a + 65_536] = shared >= least * lengths[a : a + 65_536]
     return out
 
 
 def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine: float = LEAST_COSINE, least_common: float = LEAST_COMMON) -> DataFrame:
     """item_id, doc_id, kind (copy or paraphrase), score (best cosine), common (longest common subsequence in words)."""
     spark = documents.sparkSession
+    size = items.where("text IS NOT NULL").agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > 40 * MOST_ITEM_WORDS:  # before anything of them comes to the driver
+        raise ValueError("the items are too many to hold in one task: pass them in parts")
     docs = staged(prepared(documents, "doc_id"), "leakage-words")
     own = prepared(items, "item_id").distinct().toPandas().sort_values(["id", "words"], ignore_index=True)
     schema = "item_id bigint, doc_id bigint, kind string, score double, common int"
@@ -281,72 +330,52 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
     arrays = [np.frombuffer(x, np.int32) for x in own["bins"]]
     vectors, of, start = _Sums(space, arrays).windows(N, STRIDE)
     lengths = np.minimum(N, np.array([len(a) for a in arrays])[of])
-    # windows of a document are a little longer than the item's, so that they hold all its words
-    by_length = [(int(m), vectors[lengths == m], of[lengths == m], start[lengths == m]) for m in np.unique(lengths)]
+    # windows of a document are a little longer than the items', so that they hold all their words
+    group = np.array(GROUPS)[np.searchsorted(GROUPS, lengths)]
+    by_group = [(int(g), Lists(vectors[group == g]), of[group == g], start[group == g], lengths[group == g]) for g in np.unique(group)]
     ids, texts = own["id"].to_numpy(), [w.split(" ") for w in own["words"]]
-    shared = spark.sparkContext.broadcast((space, by_length, ids, texts))
+    shared = spark.sparkContext.broadcast((space, by_group, ids, texts))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space, by_length, ids, texts = shared.value
+        space, by_group, ids, texts = shared.value
         rare = _rare_words(texts)
         grams = [{f" {' '.join(t[i : i + N])} " for i in range(max(1, len(t) - N + 1))} for t in texts]
         bins = Bins()
         own = [np.array([bins[w] for w in t], dtype=np.int32) for t in texts]
-        known = {m: np.unique(np.concatenate([_gram_hashes(x, m) for x in own if min(len(x), N) == m])) for m in {min(len(x), N) for x in own}}
         asked: dict[tuple[int, int], tuple[list[str], list[str], set[str]]] = {}
         for b in batches:
             out = []
             texts_of, keys, all_bins = b["words"].tolist(), b["id"].tolist(), b["bins"].tolist()
             for some in _pieces(all_bins, WINDOW):
                 sums = _Sums(space, [x for _, _, x in some])
-                for m, vectors, of, start in by_length:
-                    places, text_of, at = sums.windows(m + STRIDE - 1, STRIDE)
-                    hits = []
-                    for a in range(0, len(places), 4096):
-                        s = places[a : a + 4096] @ vectors.T
-                        w, q = np.nonzero(s >= least_cosine)
-                        hits.append((w + a, q, s[w, q]))
-                    w, q, score = (np.concatenate([h[k] for h in hits]) for k in range(3))
-                    pair = text_of[w].astype(np.int64) * len(ids) + of[q]
-                    order = np.lexsort((-score, pair))
-                    leads = np.r_[True, np.diff(pair[order]) > 0] if len(order) else np.zeros(0, dtype=bool)
-                    # besides each pair's best, only candidates with enough words in common to pass are looked at
-                    close = _close(some, text_of[w[order]], at[w[order]], own, of[q[order]], start[q[order]], least_common * N) if m == N else np.zeros(len(order), dtype=bool)
-                    kept = leads | close
-                    # a text with none of the items' runs of words needs no comparison of words for a copy
-                    has: dict[int, bool] = {}
-                    split: dict[int, list[str]] = {}
-                    done = False
-                    for x, lead, near in zip(order[kept], leads[kept], close[kept], strict=True):
-                        i, item = int(text_of[w[x]]), int(of[q[x]])
-                        words_of, doc = texts_of[some[i][0]], keys[some[i][0]]
-                        if lead:
-                            done = False
-                            if i not in has:
-                                has[i] = bool(np.isin(_gram_hashes(some[i][2], m), known[m]).any())
-                            if has[i]:
-                                whole = f" {words_of} "
-                                if any(g in whole for g in grams[item]):
-                                    out.append((ids[item], doc, "copy", float(score[x]), min(N, len(texts[item]))))
-                                    done = True
-                        if done or not near:
+                split: dict[int, list[str]] = {}
+                whole: dict[int, str] = {}
+                for m, lists, of, start, lengths in by_group:
+                    wide = m + STRIDE - 1
+                    places, text_of, at = sums.windows(wide, STRIDE)
+                    w, q, score = lists.close(places, least_cosine)
+                    near = _close(some, text_of[w], at[w], wide, own, of[q], start[q], lengths[q], least_common)
+                    w, q, score = w[near], q[near], score[near]
+                    # a pair's candidates by falling cosine: the first that passes is its best
+                    for x in np.lexsort((-score, of[q], text_of[w])):
+                        i, item = some[text_of[w[x]]][0], int(of[q[x]])
+                        if out and out[-1][:2] == (ids[item], keys[i]) and (out[-1][2] == "copy" or out[-1][5] is some):
                             continue
-                        window = (item, int(start[q[x]]))
+                        if i not in split:
+                            split, whole = {i: texts_of[i].split(" ")}, {i: f" {texts_of[i]} "}  # pairs come text by text
+                        window, begin = (item, int(start[q[x]])), some[text_of[w[x]]][1] + at[w[x]]
                         if window not in asked:
                             query = texts[item][window[1] : window[1] + N]
                             asked[window] = query, [y for y in query if y[0].isdigit()], {y for y in query if y in rare}
                         query, numbers, telling = asked[window]
-                        if len(telling) < 3:
+                        passage = split[i][begin : begin + wide]
+                        if (common := common_words(query, passage)) < least_common * len(query):
                             continue
-                        if some[i][0] not in split:
-                            split = {some[i][0]: words_of.split(" ")}  # pairs come text by text
-                        begin = some[i][1] + at[w[x]]
-                        passage = split[some[i][0]][begin : begin + N + STRIDE - 1]
-                        there = set(passage)
-                        if all(y in there for y in numbers) and 3 * len(telling & there) >= 2 * len(telling) and (shared_words := common_words(query, passage)) >= least_common * N:
-                            out.append((ids[item], doc, "paraphrase", float(score[x]), shared_words))
-                            done = True  # the pair's candidates come by cosine: the first that passes is its best
-            yield pd.DataFrame(out, columns=["item_id", "doc_id", "kind", "score", "common"])
+                        if any(g in whole[i] for g in grams[item]):
+                            out.append((ids[item], keys[i], "copy", float(score[x]), min(N, len(texts[item])), some))
+                        elif len(query) == N and len(telling) >= 3 and all(y in passage for y in numbers) and 3 * len(telling & set(passage)) >= 2 * len(telling):
+                            out.append((ids[item], keys[i], "paraphrase", float(score[x]), common, some))
+            yield pd.DataFrame([x[:5] for x in out], columns=["item_id", "doc_id", "kind", "score", "common"])
 
     found = docs.mapInPandas(each, schema)
     best = F.max(F.struct(F.col("kind") == "copy", "score", "common", "kind")).alias("b")
