@@ -4,8 +4,8 @@ An inverted index of line hashes finds files of one repository that are containe
 (vendored copies, patched ones too): containment is exact, weighted by how rare a line is, so that
 lines everyone writes count little. Candidates come by prefix filter: a file that is contained to the
 share CONTAINED must share one of its rarest lines, so only these are looked up; a file whose own lines
-already weigh more than the rest can't be contained and is dropped. Exact copies are one class. The
-files' headers, paths and token composition (literals, blanks, line lengths) tell the rest.
+already weigh more than the rest can't be contained and is dropped. Exact copies are one class. Of the files
+that remain, headers, paths and token composition (literals, blanks, line lengths) tell what nobody wrote by hand.
 
 Defined results: null or empty texts are judged by path alone; null paths, repositories and languages
 are empty ones; records without file_id are left out, re-delivered ones count once; extra columns are
@@ -14,6 +14,7 @@ ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,14 +29,12 @@ from quillgraph.sources.tables import table
 
 #: The weighted share of a file's lines that another repository's file has to hold.
 CONTAINED = 0.7
-#: Files of fewer different lines are too small to tell a copy from a coincidence.
-LEAST_LINES = 8
+#: Files whose lines weigh less than so many that no other file has tell no copy from a coincidence, however many
+#: lines they are.
+LEAST_RARE = 8.0
 #: A line's files are compared with those that have it among their rarest in blocks of about so many, so
 #: that a line of many files is spread over tasks; copies that are equal line by line are one of them.
 BLOCK = 50
-#: Lines of a file's top that its header may take.
-HEADER_LINES = 12
-
 _GENERATED = re.compile(
     r"(?i)\bcode generated by\b|^\W*@generated\b|@generated by|<auto-?generated>|\bauto-?generated (?:file|by|from|code|-)|\bautomatically (?:generated|created|produced|written)\b|\bproduced by \S+ from\b|\bgenerated (?:by|from|with|using) \S+|\bthis file (?:was|is|has been) (?:auto\w*[ -])?(?:generated|written by|produced|created by|built)\b"
     r"|\bdo not (?:edit|modify|change)\b(?! (?:the|this) (?:order|list|value))|\b(?:manual|hand) (?:edits|changes) will be (?:lost|overwritten)|\bchanges will be (?:lost|overwritten)|\bautomatisch (?:erzeugt|generiert|erstellt)|\bgénéré automatiquement|\bgenerado automáticamente"
@@ -50,13 +49,14 @@ _MINIFIED_PATH = re.compile(r"(?i)\.min\.(?:m?js|cjs|css)$|\.bundle\.(?:m?js|cjs
 _TOKEN = re.compile(r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(0[xX][0-9a-fA-F]+|\d[\d._]*(?:[eE][-+]?\d+)?)|([^\W\d][\w$]*|\$[\w$]*)|(//[^\n]*|\#[^\n]*|/\*.*?\*/)|(\s+)|(.)""", re.S)
 _BLOB = re.compile(r"[A-Za-z0-9+/=_\-\\x,]{200,}")
 _LINES = re.compile(r"\r\n|\r|\n")
+_LINE = re.compile(r"[^\r\n]+")
 
 
 def header(text: str) -> list[str]:
-    """The comment lines at the file's top."""
+    """The comment lines at the file's top, all of them."""
     out, block = [], False
-    for line in _LINES.split(text[:4000])[: HEADER_LINES + 8]:
-        s = line.strip().lstrip("\ufeff")
+    for m in _LINE.finditer(text):
+        s = m.group().strip().lstrip("\ufeff")
         if not s:
             continue
         if block:
@@ -69,8 +69,6 @@ def header(text: str) -> list[str]:
             block = "*/" not in s
         else:
             break
-        if len(out) >= HEADER_LINES:
-            break
     return out
 
 
@@ -136,44 +134,45 @@ def files(records: DataFrame, texts: DataFrame) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [signs(p, t) for p, t in zip(b["path"], b["text"], strict=True)]
-            # a file that is data or minified has no lines that could be looked up
-            lines = [[] if s in ("data", "minified") else _line_hashes(t) for s, t in zip(found, b["text"], strict=True)]
-            digest = [xxhash.xxh3_128_hexdigest(b",".join(b"%d" % x for x in own)) if own else None for own in lines]
+            lines = [_line_hashes(t) for t in b["text"]]
+            digest = [xxhash.xxh3_128_digest(b",".join(b"%d" % x for x in own)) if own else None for own in lines]
             yield pd.DataFrame({"file_id": b["file_id"], "repo": b["repo"], "sign": found, "lines": lines, "class": digest})
 
-    return joined.mapInPandas(each, "file_id bigint, repo string, sign string, lines array<bigint>, class string")
-
-
-def contained(of: DataFrame, share: float = CONTAINED, least_lines: int = LEAST_LINES, block: int = BLOCK) -> DataFrame:
-    """class, share: the classes of which a file of another repository holds at least `share`. of: files, staged."""
-    sized = of.where(F.size("lines") >= least_lines)
-    classes = sized.groupBy("class").agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
+    return joined.mapInPandas(each, "file_id bigint, repo string, sign string, lines array<bigint>, class binary")
+
+
+def contained(of: DataFrame, share: float = CONTAINED, least: float = LEAST_RARE, block: int = BLOCK) -> DataFrame:
+    """class, share: the classes of which a file of another repository holds at least `share`. of: files, staged.
+
+    Lines that only one class has can't be shared: they are counted, never moved.
+    """
+    lines = of.where(F.size("lines") > 0).groupBy("class").agg(F.any_value("lines").alias("lines"), F.min("repo").alias("low"), F.max("repo").alias("high"))
+    n = max(2, of.select("class").distinct().count())
+    whole = float(math.log(n + 1))  # what a line of one class weighs
+    posting = lines.select("class", F.size("lines").alias("size"), F.explode("lines").alias("line"))
+    df = posting.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = staged(posting.join(df, "line").withColumn("w", F.log(F.lit(float(n + 1)) / F.col("df"))), "authorship-lines")
+    sums = common.groupBy("class").agg(F.sum("w").alias("most"), F.count(F.lit(1)).alias("common"))
+    classes = lines.select("class", "low", "high", F.size("lines").alias("size")).join(sums, "class", "left").fillna(0, ["most", "common"])
+    alone = (F.col("size") - F.col("common")) * whole
+    # most: what a class can hold of others, its lines that others have
+    classes = staged(classes.select("class", "low", "high", "most", alone.alias("alone"), (alone + F.col("most")).alias("total")).where(F.col("total") >= least * whole), "authorship-classes")
     copies = classes.where(F.col("low") != F.col("high")).select("class", F.lit(1.0).alias("share"))
-    lines = sized.groupBy("class").agg(F.min("lines").alias("lines"), F.min("repo").alias("low"), F.max("repo").alias("high"))
-    n = max(2, lines.count())
-    posting = lines.select("class", F.explode("lines").alias("line"))
-    df = posting.groupBy("line").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(F.lit(float(n + 1)) / F.col("df"))
-    weighed = staged(posting.join(df, "line").withColumn("w", weight), "authorship-lines")
-    rarest = W.partitionBy("class").orderBy("df", "line")
-    total = F.sum("w").over(W.partitionBy("class"))
-    ahead = F.coalesce(F.sum("w").over(rarest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = weighed.withColumn("total", total).withColumn("ahead", ahead).withColumn("alone", F.sum(F.when(F.col("df") == 1, F.col("w")).otherwise(0.0)).over(W.partitionBy("class")))
+    # a class whose own lines weigh more than the rest can't be contained
+    asking = classes.where(F.col("alone") <= (1 - share) * F.col("total") + 1e-9)
+    rarest = W.partitionBy("class").orderBy("df", "line").rowsBetween(W.unboundedPreceding, -1)
+    ranked = common.join(asking.select("class", "low", "high", "alone", "total"), "class").withColumn("ahead", F.col("alone") + F.coalesce(F.sum("w").over(rarest), F.lit(0.0)))
     # beyond (1 - share) of the weight every contained file has shared a line already
-    prefix = ranked.where((F.col("ahead") <= (1 - share) * F.col("total") + 1e-9) & (F.col("alone") <= (1 - share) * F.col("total") + 1e-9) & (F.col("df") > 1)).select("class", "line", "df", "total")
-    wanted = prefix.select("line").distinct()
-    # what a class can hold of others: its lines that others have
-    most = weighed.where(F.col("df") > 1).groupBy("class").agg(F.sum("w").alias("most"))
-    repos = staged(lines.select("class", "low", "high").join(most, "class"), "authorship-classes")
+    prefix = ranked.where(F.col("ahead") <= (1 - share) * F.col("total") + 1e-9).select("class", "low", "high", "line", "df", "total")
     blocks = F.ceil(F.col("df") / F.lit(block)).cast("bigint")
-    partners = weighed.join(wanted, "line", "left_semi").select("class", "line", F.pmod(F.xxhash64("class"), blocks).alias("block"))
-    partners = partners.join(repos, "class").select("line", "block", F.col("class").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), "most")
-    looked = prefix.join(repos.drop("most"), "class").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    partners = common.join(prefix.select("line").distinct(), "line", "left_semi").select("class", "line", F.pmod(F.xxhash64("class"), blocks).alias("block"))
+    partners = partners.join(classes.select("class", "low", "high", "most"), "class").select("line", "block", F.col("class").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"), "most")
+    looked = prefix.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
     pairs = looked.join(partners, ["line", "block"]).where((F.col("class") != F.col("other")) & (F.col("most") >= share * F.col("total") - 1e-6))
     # there must be a file of each in different repositories
     pairs = pairs.where((F.col("low") != F.col("other_low")) | (F.col("high") != F.col("other_high")) | (F.col("low") != F.col("high"))).select("class", "other", "total").distinct()
-    mine = pairs.join(weighed.select("class", "line", "w"), "class")
-    both = mine.join(weighed.select(F.col("class").alias("other"), "line"), ["other", "line"])
+    mine = pairs.join(common.select("class", "line", "w"), "class")
+    both = mine.join(common.select(F.col("class").alias("other"), "line"), ["other", "line"])
     held = both.groupBy("class", "other", "total").agg((F.sum("w") / F.col("total")).alias("share")).where(F.col("share") >= share)
     return held.select("class", "share").unionByName(copies).groupBy("class").agg(F.max("share").alias("share"))
 
@@ -183,7 +182,8 @@ def not_by_hand(records: DataFrame, texts: DataFrame) -> DataFrame:
     of = staged(files(records, texts), "authorship-files")
     held = contained(of)
     joined = of.select("file_id", "sign", "class").join(held, "class", "left")
-    kind = F.coalesce("sign", F.when(F.col("share").isNotNull(), "vendored"))
+    # containment decides; the rules are for what remains
+    kind = F.coalesce(F.when(F.col("share").isNotNull(), "vendored"), "sign")
     return joined.select("file_id", kind.alias("kind"), "share").where(F.col("kind").isNotNull())
 
 

@@ -86,3 +86,19 @@ def test_nulls_and_empty(spark):
     rows = spark.createDataFrame([(1, None, None, "vendor/x.js"), (2, "w", "r", None), (3, "w", "r", "a.py"), (4, "w", "r", "b.py"), (None, "w", "r", "vendor/y.js"), (1, None, None, "vendor/x.js"), (5, "w", "r", "c.py")], schema)
     assert [x["file_id"] for x in au.not_by_hand(rows, texts).collect()] == [1]
     assert au.not_by_hand(rows.limit(0), texts).count() == 0
+
+
+def test_a_mark_below_a_long_licence():
+    licence = "\n".join(f"// {i}: permission is granted to any person who " + "obtains a copy of it and " * 10 for i in range(60))
+    assert len(licence) > 4000 and au.signs("a.js", f"{licence}\n//\n// Code generated by x. DO NOT EDIT.\nlet a = 1") == "generated"
+
+
+def test_containment_decides_before_the_rules(spark):
+    rng = random.Random(4)
+    body = ["# Code generated by x. DO NOT EDIT.", *lines(rng, 20)]
+    rest = [lines(rng, 9) for _ in range(20)]
+    records = [(1, "w", "r1", "a.py"), (2, "w", "r2", "a.py"), *[(10 + i, "w", f"r{i}", "b.py") for i in range(20)]]
+    texts = [(1, "\n".join(body)), (2, "\n".join(body)), *[(10 + i, "\n".join(x)) for i, x in enumerate(rest)]]
+    rows = spark.createDataFrame(records, "file_id bigint, workspace_id string, repo string, repo_relative_path string")
+    got = {x["file_id"]: x["kind"] for x in au.not_by_hand(rows, spark.createDataFrame(texts, "file_id bigint, text string")).collect()}
+    assert got == {1: "vendored", 2: "vendored"}
