@@ -29,9 +29,9 @@ from quillgraph.sources.tables import table
 
 #: The weighted share of a file's lines that another repository's file has to hold.
 CONTAINED = 0.7
-#: Files whose lines weigh less than so many that no other file has tell no copy from a coincidence, however many
-#: lines they are.
-LEAST_RARE = 8.0
+#: Files of fewer different lines are too small to tell a copy from a coincidence: idioms of a few lines stand in many
+#: repositories. The rules judge them all the same.
+LEAST_LINES = 8
 #: A line's files are compared with those that have it among their rarest in blocks of about so many, so
 #: that a line of many files is spread over tasks; copies that are equal line by line are one of them.
 BLOCK = 50
@@ -141,7 +141,7 @@ def files(records: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInPandas(each, "file_id bigint, repo string, sign string, lines array<bigint>, class binary")
 
 
-def contained(of: DataFrame, share: float = CONTAINED, least: float = LEAST_RARE, block: int = BLOCK) -> DataFrame:
+def contained(of: DataFrame, share: float = CONTAINED, least_lines: int = LEAST_LINES, block: int = BLOCK) -> DataFrame:
     """class, share: the classes of which a file of another repository holds at least `share`. of: files, staged.
 
     Lines that only one class has can't be shared: they are counted, never moved.
@@ -156,7 +156,7 @@ def contained(of: DataFrame, share: float = CONTAINED, least: float = LEAST_RARE
     classes = lines.select("class", "low", "high", F.size("lines").alias("size")).join(sums, "class", "left").fillna(0, ["most", "common"])
     alone = (F.col("size") - F.col("common")) * whole
     # most: what a class can hold of others, its lines that others have
-    classes = staged(classes.select("class", "low", "high", "most", alone.alias("alone"), (alone + F.col("most")).alias("total")).where(F.col("total") >= least * whole), "authorship-classes")
+    classes = staged(classes.select("class", "low", "high", "most", alone.alias("alone"), (alone + F.col("most")).alias("total")).where(F.col("size") >= least_lines), "authorship-classes")
     copies = classes.where(F.col("low") != F.col("high")).select("class", F.lit(1.0).alias("share"))
     # a class whose own lines weigh more than the rest can't be contained
     asking = classes.where(F.col("alone") <= (1 - share) * F.col("total") + 1e-9)
