@@ -41,8 +41,6 @@ SEED = 42
 MOST_LEAVES = 200_000
 #: A leaf's epoch is cut into so many slices by hash; only the slice in which its budget ends is sorted.
 SLICES = 4096
-#: A piece without white space is counted in parts of so many characters, since BPE is quadratic in it.
-LONG_PIECE = 20_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -56,9 +54,7 @@ def _encoding(path: str):
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
     """The number of tokens of the whole text."""
-    if not text:
-        return 0
-    return sum(len(_encoding(path).encode_ordinary(text[a : a + LONG_PIECE * 50])) for a in range(0, len(text), LONG_PIECE * 50))
+    return len(_encoding(path).encode_ordinary(text)) if text else 0
 
 
 def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -135,18 +131,22 @@ def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return {r["source"]: (max(r["share"] or 0.0, 0.0), max(1 if r["repeats"] is None else r["repeats"], 0)) for r in rows}
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, domains: dict[str, str] = DOMAINS) -> tuple[DataFrame, DataFrame]:
     """(drawn, report). drawn: doc_id, source, lang, tokens, copies. report: per source its target and actual share.
 
-    total: tokens of the mixture. None: the largest total at which no source with documents falls short.
+    total: tokens of the mixture. None: the largest total at which no source with documents falls short; "available":
+    all tokens of the sources that have a target, so that small sources fall short and others take their part.
     """
     spark = documents.sparkSession
     sized = staged(with_tokens(documents, tokenizer), "mixing-tokens")
     wanted = _targets(targets)
-    of = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).where((F.col("tokens") > 0) & F.col("source").isin(list(wanted)))
+    named = targets.where(F.col("source").isNotNull()).select("source").distinct()
+    of = sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).where("tokens > 0").join(named, "source", "left_semi")
     rows = [r.asDict() for r in of.limit(MOST_LEAVES + 1).collect()]
     if len(rows) > MOST_LEAVES:
         raise ValueError("too many leaves to plan on the driver")
+    if total == "available":
+        total = float(sum(r["tokens"] for r in rows))
     planned = plan(sorted(rows, key=lambda r: (r["source"], r["lang"])), wanted, total, domains)
     epochs = [(x["source"], x["lang"], e := min(wanted[x["source"]][1], math.floor(x["budget"] / x["tokens"] + 1e-9)), max(0.0, x["budget"] - e * x["tokens"]) if e < wanted[x["source"]][1] else 0.0) for x in planned]
     budgets = spark.createDataFrame(epochs, "source string, lang string, whole int, rest double")
@@ -188,5 +188,10 @@ def p9_shares(spark, folder):
     return mixture(table(spark, folder, "documents"), table(spark, folder, "source_target"))[1]
 
 
+def p9_all_tokens(spark, folder):
+    """The shares of a mixture as large as the corpus: sources that fall short give their part to siblings, then ancestors."""
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "source_target"), "available")[1]
+
+
 SQL = {}
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_all_tokens": p9_all_tokens}

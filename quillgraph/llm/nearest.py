@@ -10,9 +10,11 @@ border. Distances are chords between unit vectors, scores cosines in double prec
 gives each point the distance of its k-th neighbour there, the second pass looks elsewhere within that.
 
 The sample is bounded (about SAMPLE rows, or SAMPLE_PER_SHARD a shard, up to MOST_SAMPLE; chosen by hash),
-shards take about SHARD_ROWS points (by the sample's medians, so dense regions are split too; more only
-beyond MOST_SAMPLE / SAMPLE_PER_SHARD shards, half a billion points), and a shard's visitors come in
-blocks of BLOCK_ROWS. Every point is indexed, whatever the sample.
+shards take about SHARD_ROWS points (by the sample's medians, so dense regions are split too). A shard of more
+than twice as many, as there are beyond MOST_SAMPLE / SAMPLE_PER_SHARD shards (half a billion points), is cut
+into parts by hash, each with a tree of its own, that all its visitors look into; these come in blocks of
+BLOCK_ROWS. So no task holds more than about 2 SHARD_ROWS points and BLOCK_ROWS visitors. Every point is
+indexed, whatever the sample.
 
 Defined results: vectors that are null, of other length, with nulls, NaN or infinities, or all zero are
 not part of the collection, nor are null ids; of an id's differing vectors the smallest counts; equal
@@ -207,11 +209,15 @@ def neighbours(points: DataFrame, k: int = K, relax: float = RELAX_TOP, least_sc
         return each
 
     stored = points.select("id", "vec").mapInPandas(route(None), "id string, vec binary, shard int")
+    # the tables of blocks and parts have as many rows as shards, which are bounded
+    parts = stored.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (2 * SHARD_ROWS)).cast("int").alias("parts"))
+    cut = stored.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")).drop("parts")
 
     def passes(asking: DataFrame, radius: float | None) -> DataFrame:
-        counts = asking.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))  # as many rows as shards, which are bounded
+        counts = asking.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
         left = asking.join(F.broadcast(counts), "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-        right = stored.join(F.broadcast(counts), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        left = left.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        right = cut.join(F.broadcast(counts), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
         def look(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(data):
@@ -227,7 +233,7 @@ def neighbours(points: DataFrame, k: int = K, relax: float = RELAX_TOP, least_sc
             best = _best(q, p, s, k)  # rows are in the order of their ids
             return pd.DataFrame({"a": queries["id"].to_numpy()[q[best]], "b": data["id"].to_numpy()[p[best]], "score": s[best]})
 
-        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(look, out_schema)
+        return left.groupBy("shard", "part", "block").cogroup(right.groupBy("shard", "part", "block")).applyInPandas(look, out_schema)
 
     if least_score is not None:
         radius = math.sqrt(max(0.0, 2 - 2 * least_score)) + 1e-9
@@ -235,7 +241,9 @@ def neighbours(points: DataFrame, k: int = K, relax: float = RELAX_TOP, least_sc
         found = passes(asking, radius)
     else:
         home = staged(passes(stored.toDF(*stored.columns), None), "nearest-home")
-        worst = home.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+        # each part of a home shard gives k: the k-th best of all is the radius
+        place = F.row_number().over(W.partitionBy("a").orderBy(F.col("score").desc(), "b"))
+        worst = home.withColumn("place", place).where(F.col("place") <= k).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
         radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("low")))).otherwise(F.lit(2.0))
         with_radius = points.select("id", "vec").join(worst.select(F.col("a").alias("id"), radius.alias("radius")), "id", "left").fillna(2.0, ["radius"])
         asking = with_radius.select("id", "vec", "radius").mapInPandas(route(-1.0), "id string, vec binary, radius double, shard int")
@@ -279,6 +287,12 @@ def p2_top(spark, folder):
     return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), "score", "rank")
 
 
+def p2_exact(spark, folder):
+    """The five nearest of every chunk by exact search: factor 1."""
+    near = top(table(spark, folder, "chunk"), "chunk_id", "embedding", relax=1.0)
+    return near.select(F.col("id").alias("chunk_id"), F.col("other").alias("neighbour_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 SQL = {
     "p2_found": """
 WITH v AS (SELECT chunk_id, min(embedding)::DOUBLE[] AS e FROM chunk WHERE len(embedding) = 64 AND chunk_id IS NOT NULL
@@ -287,4 +301,5 @@ s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, round(list_cosine_similarity(a.e,
 n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s)
 SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM n WHERE r <= 5 AND score >= 0.9"""
 }
-QUERIES = {"p2_found": p2_found, "p2_top": p2_top}
+SQL["p2_exact"] = SQL["p2_found"].split("SELECT DISTINCT")[0] + "SELECT a AS chunk_id, b AS neighbour_id, round(score, 6) AS score, r AS rank FROM n WHERE r <= 5"
+QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p2_exact": p2_exact}

@@ -57,3 +57,19 @@ def test_total_and_empty(spark):
 def test_tokens_of_whole_texts():
     assert mixing.count_tokens(None) == 0 and mixing.count_tokens("hello world") == 2
     assert mixing.count_tokens("hello " * 300_000) > 300_000 - 5
+
+
+def test_whole_text_is_counted_at_once():
+    text = "x" * 999_990 + " straddling the millionth character " + "y z" * 10
+    assert mixing.count_tokens(text) == len(mixing._encoding(mixing.TOKENIZER).encode_ordinary(text))
+    assert mixing.count_tokens("a" * 1_200_000) > 0
+
+
+def test_shortage_goes_to_siblings_before_ancestors(spark):
+    rows = [(i, "one two three four", "en", s) for i, s in enumerate(["issue"] * 5 + ["review"] * 60 + ["readme"] * 100)]
+    targets = spark.createDataFrame([("issue", 0.4, 2), ("review", 0.2, 1), ("readme", 0.4, 1)], TARGET)
+    _, report = mixing.mixture(docs(spark, rows), targets, total="available")
+    got = {x["source"]: x for x in report.collect()}
+    # of 660 tokens the discussion's 396 are: 40 of issue's 264 (10 texts of 4), and review takes what it has
+    assert got["issue"]["drawn_tokens"] == 40 and got["review"]["drawn_tokens"] == 240
+    assert got["issue"]["most_copies"] == 2 and got["readme"]["drawn_tokens"] == pytest.approx(380, abs=4)

@@ -77,3 +77,15 @@ def test_many_copies(spark):
     got = {(x["a"], x["b"]) for x in nearest.similar_pairs(df, "key", "v", 0.9).collect()}
     want = {tuple(sorted((f"k{n:03d}", f"k{o:03d}"))) for n in range(150) for o in [m for m in range(6) if m != n][:5]}
     assert got == want
+
+
+def test_large_shards_are_cut_into_parts(spark, clusters, monkeypatch):
+    """Where the router can have no more shards, a shard's points come in parts: the result is the same."""
+    monkeypatch.setattr(nearest, "SHARD_ROWS", 20)
+    monkeypatch.setattr(nearest, "MOST_SAMPLE", 4 * nearest.SAMPLE_PER_SHARD)
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 8)
+    got = {}
+    for x in nearest.top(frame(spark, clusters), "key", "v", 5, relax=1.0).collect():
+        got.setdefault(x["id"], []).append(x["score"])
+    want = brute(clusters, 5)
+    assert {i: pytest.approx(sorted(s), abs=2e-7) for i, s in got.items()} == {i: sorted(s for _, s in near) for i, near in want.items()}
