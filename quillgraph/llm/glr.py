@@ -146,6 +146,17 @@ class Grammar:
             self.table.append(row)
         self.goto = [{s: n for s, n in gotos.items() if s in by} for gotos in self.shift]
         del self.shift
+        #: token -> (state, symbol) -> state, filled while reading: see _settle
+        self.settled: dict[str, dict[tuple[int, str], int]] = {}
+
+    def _settle(self, base: int, lhs: str, token: str) -> int:
+        """The state that follows from base by lhs and by all reductions of single symbols that come before the token."""
+        while True:
+            state = self.goto[base][lhs]
+            target, reductions = self.table[state].get(token, (0, ()))
+            if target >= 0 or len(reductions) != 1 or len(reductions[0]) != 2 or reductions[0][0] != 1:
+                return state
+            lhs = reductions[0][1]
 
     def begin(self) -> list:
         return [(0, None)]
@@ -156,6 +167,9 @@ class Grammar:
         if len(stacks) == 1:
             # one stack and one action: plain LR
             node = stacks[0]
+            settled = self.settled.get(token)
+            if settled is None:
+                settled = self.settled[token] = {}
             while True:
                 entry = table[node[0]].get(token)
                 if entry is None:
@@ -173,7 +187,10 @@ class Grammar:
                 while n:
                     node = node[1]
                     n -= 1
-                node = (goto[node[0]][lhs], node)
+                state = settled.get((node[0], lhs))
+                if state is None:
+                    state = settled[node[0], lhs] = self._settle(node[0], lhs, token)
+                node = (state, node)
         out, seen, todo = {}, {}, []
         for node in stacks:
             if (node[0], id(node[1])) not in seen:

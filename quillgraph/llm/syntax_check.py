@@ -5,7 +5,8 @@ grammars and glr) read the whole token stream; the first token that no parse can
 first unrecoverable error. Semicolons are inserted as the language says, only where a token can't be
 taken otherwise; Python's indentation becomes tokens.
 
-The language is `lang`, or else what the path's suffix tells. JSX is not part of the grammar.
+The language is `lang`, or else what the path's suffix tells. Scripts whose suffix is .jsx or .tsx may hold JSX
+elements. Files of one text, language and suffix are read once.
 
 Defined results: null or empty texts, and those of blanks and comments only, are valid; files of other
 or unknown languages are not judged; records without file_id are left out, re-delivered ones count
@@ -42,11 +43,10 @@ class Invalid(Exception):
 _PY_KEYWORDS = frozenset("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split())
 _PY_NUMBER = r"(?:0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][-+]?\d(?:_?\d)*)?[jJ]?)"
 _PY_TOKEN = re.compile(
-    r"(?P<ws>[ \t\f]+)|(?P<cont>\\\n)|(?P<comment>\#[^\n]*)|(?P<nl>\n)"
-    r"|(?P<string>(?:[rRuUbBfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:\"\"\"|'''|\"|'))"
-    rf"|(?P<number>{_PY_NUMBER})|(?P<name>[^\W\d]\w*)"
+    r"[ \t\f]*(?:(?P<string>(?:[rRuUbBfFtT]|[rR][bBfFtT]|[bBfFtT][rR])?(?:\"\"\"|'''|\"|'))"
+    rf"|(?P<name>[^\W\d]\w*)|(?P<nl>\n)|(?P<number>{_PY_NUMBER})"
     r"|(?P<aug>(?:\*\*|//|>>|<<|[-+*/%@&|^])=)|(?P<cmp>==|!=|<=|>=|<(?!<)|>(?!>))|(?P<fixed>:=|->|\*\*|\.\.\.|[()\[\]{},:;.=~@])"
-    r"|(?P<pm>[-+])|(?P<bar>\|)|(?P<star>\*)|(?P<slash>/(?!/))|(?P<op>//|<<|>>|[%&^])"
+    r"|(?P<pm>[-+])|(?P<bar>\|)|(?P<star>\*)|(?P<slash>/(?!/))|(?P<op>//|<<|>>|[%&^])|(?P<comment>\#[^\n]*)|(?P<cont>\\\n))"
 )
 _PY_ENDS = {'"""': re.compile(r'(?:\\.|[^\\"]|"(?!""))*"""', re.S), "'''": re.compile(r"(?:\\.|[^\\']|'(?!''))*'''", re.S), '"': re.compile(r'(?:\\(?:.|\n)|[^\\"\n])*"'), "'": re.compile(r"(?:\\(?:.|\n)|[^\\'\n])*'")}
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
@@ -144,10 +144,9 @@ def python_tokens(text: str) -> Iterator[tuple[str, int]]:
                 continue
         m = match(text, at)
         if m is None:
-            raise Invalid(line, f"invalid character {text[at]!r}")
-        kind, raw, at = m.lastgroup, m.group(), m.end()
-        if kind == "ws" or kind == "comment":
-            continue
+            raise Invalid(line, f"invalid character {text[at:].lstrip(" \t\f")[0]!r}")
+        kind, at = m.lastgroup, m.end()
+        raw = m[kind]
         if kind == "name":
             if raw in _PY_KEYWORDS:
                 yield raw, line
@@ -186,7 +185,7 @@ def python_tokens(text: str) -> Iterator[tuple[str, int]]:
             yield "NUMBER", line
         elif kind == "cont":
             line += 1
-        else:
+        elif kind != "comment":
             yield {"aug": "AUG", "cmp": "CMP", "pm": "PM", "bar": "OR", "star": "STAR", "slash": "/", "op": "OP"}[kind], line
     if brackets:
         raise Invalid(brackets[-1][1], "never closed")
@@ -202,11 +201,11 @@ _JS_WORDS = frozenset(
     "async of get set from as type declare namespace module abstract readonly keyof unique infer is asserts satisfies require global override accessor out".split()
 )
 _JS_TOKEN = re.compile(
-    r"(?P<ws>[^\S\n\r\u2028\u2029]+|\ufeff)|(?P<nl>\r\n|[\n\r\u2028\u2029])|(?P<comment>//[^\n\r\u2028\u2029]*)|(?P<block>/\*)|(?P<name>(?:[^\W\d]|[$_]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))(?:[\w$\u200c\u200d]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*)"
+    r"[^\S\n\r\u2028\u2029]*(?:(?P<nl>\r\n|[\n\r\u2028\u2029])|(?P<name>(?:[^\W\d]|[$_]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))(?:[\w$\u200c\u200d]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*)|(?P<comment>//[^\n\r\u2028\u2029]*)|(?P<block>/\*)"
     r"|(?P<private>\#[^\W\d][\w$]*|\#[$_][\w$]*)|(?P<num>0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][-+]?\d(?:_?\d)*)?)"
     r"|(?P<str>\"(?:\\(?:\r\n|[\s\S])|[^\"\\\n\r])*\"|'(?:\\(?:\r\n|[\s\S])|[^'\\\n\r])*')|(?P<tick>`)"
     r"|(?P<inc>\+\+|--)|(?P<assign>(?:\*\*|<<|>>>|>>|&&|\|\||\?\?|[-+*/%&|^])=)|(?P<arrow>=>)|(?P<op>\*\*|===?|!==?|<=|>=|<<|&&|\|\||\?\?|[%^])"
-    r"|(?P<dots>\.\.\.)|(?P<optdot>\?\.(?!\d))|(?P<add>[-+])|(?P<bar>\|)|(?P<amp>&)|(?P<gt>>)|(?P<slash>/)|(?P<fixed>[*<{}()\[\];,.:?=!~@])"
+    r"|(?P<dots>\.\.\.)|(?P<optdot>\?\.(?!\d))|(?P<add>[-+])|(?P<bar>\|)|(?P<amp>&)|(?P<gt>>)|(?P<slash>/)|(?P<fixed>[*<{}()\[\];,.:?=!~@])|(?P<bom>\ufeff)|(?P<end>\Z))"
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:\\[^\n\r]|\[(?:\\[^\n\r]|[^\]\\\n\r])*\]|[^/\\\n\r\[])+/([A-Za-z]*)")
 _JS_TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(`|\$\{)")
@@ -214,8 +213,79 @@ _JS_TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*(`|\$\{)")
 _OPERAND_ENDS = frozenset(["NAME", "NUM", "STR", "REGEX", "TEMPLATE", "TTAIL", "PRIVATE", ")", "]", "}", "this", "super", "null", "true", "false", "INC", "INCNL"])
 
 
-def script_tokens(text: str) -> Iterator[tuple[str, int, bool]]:
+class _Elements:
+    """The elements of JSX, read as array literals of what their braces hold: <a b={x}>c {y} <d/></a> is [x, y, []]."""
+
+    def __init__(self, text: str):
+        self.text, self.open, self.roots, self.modes = text, [], [], []
+
+    def begins(self, at: int) -> bool:
+        return _JSX_OPEN.match(self.text, at) is not None and _GENERIC.match(self.text, at) is None
+
+    def start(self, at: int, line: int) -> tuple[int, list[str]]:
+        """Of a root element at `<`."""
+        self.roots.append(len(self.open))
+        return self.go(at, "kids", line)
+
+    def resume(self, at: int, line: int) -> tuple[int, list[str]]:
+        """Behind the } of a brace."""
+        at, tokens = self.go(at, self.modes.pop(), line)
+        return at, [",", *tokens]
+
+    def go(self, at: int, mode: str, line: int) -> tuple[int, list[str]]:
+        """(where the script goes on, tokens): behind the root element, or behind the { of a brace, which is then the last token."""
+        text, tokens = self.text, []
+        while at < len(text):
+            if mode == "kids":
+                at = _JSX_TEXT.match(text, at).end() if len(self.open) > self.roots[-1] else at
+                if m := _JSX_CLOSE.match(text, at):
+                    if len(self.open) == self.roots[-1] or self.open.pop() != m.group(1):
+                        raise Invalid(line, "an end tag closes nothing")
+                elif m := _JSX_OPEN.match(text, at):
+                    self.open.append(m.group(1))
+                    tokens.append("[")
+                    mode, at = "tag", m.end()
+                    continue
+                elif text[at : at + 1] == "{":
+                    self.modes.append(mode)
+                    return at + 1, [*tokens, "{"]
+                else:
+                    raise Invalid(line, "invalid text of an element")
+            else:
+                at = _JSX_SPACE.match(text, at).end()
+                if m := _JSX_VALUE.match(text, at):
+                    at = m.end()
+                    continue
+                if text[at : at + 1] == ">":
+                    mode, at = "kids", at + 1
+                    continue
+                if text[at : at + 1] == "{":
+                    self.modes.append(mode)
+                    return at + 1, [*tokens, "{"]
+                m = re.compile("/>").match(text, at)
+                if m is None:
+                    raise Invalid(line, "invalid attribute of an element")
+                self.open.pop()
+            at, mode = m.end(), "kids"
+            if len(self.open) == self.roots[-1]:
+                self.roots.pop()
+                return at, [*tokens, "]"]
+            tokens += ["]", ","]
+        raise Invalid(line, "an element isn't closed")
+
+
+_JSX_OPEN = re.compile(r"<\s*((?:[^\W\d]|[$_])[\w$.:\-]*|(?=>))")
+_JSX_CLOSE = re.compile(r"<\s*/\s*([\w$.:\-]*)\s*>")
+_JSX_TEXT = re.compile(r"[^<>{}]*")
+_JSX_SPACE = re.compile(r"(?:\s|/\*.*?\*/|//[^\n]*\n)*", re.S)
+#: An attribute, whole or up to the brace of its value.
+_JSX_VALUE = re.compile(r"(?:[^\W\d]|[$_])[\w$.:\-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=\{)))?", re.S)
+_GENERIC = re.compile(r"<\s*\w+\s*(?:,|extends\b)")
+
+
+def script_tokens(text: str, jsx: bool = False) -> Iterator[tuple[str, int, bool]]:
     """(token, line, whether a line break comes before it); raises Invalid."""
+    elements = _Elements(text) if jsx else None
     at, line, size, match = 0, 1, len(text), _JS_TOKEN.match
     if text.startswith("#!"):
         at = len(re.match(r"[^\n\r]*", text).group())
@@ -233,14 +303,15 @@ def script_tokens(text: str) -> Iterator[tuple[str, int, bool]]:
     while at < size:
         m = match(text, at)
         if m is None:
-            raise Invalid(line, f"invalid character or unterminated string at {text[at]!r}")
-        kind, raw, start, at = m.lastgroup, m.group(), at, m.end()
-        if kind == "ws" or kind == "comment":
-            continue
+            raise Invalid(line, f"invalid character or unterminated string at {text[at:].lstrip(" \t\f\v\u00a0")[:1]!r}")
+        kind = m.lastgroup
+        raw, start, at = m[kind], m.start(kind), m.end()
         if kind == "nl":
             line += 1
             broken = True
             continue
+        if kind == "comment" or kind == "bom" or kind == "end":
+            continue
         if kind == "block":
             end = text.find("*/", at)
             if end < 0:
@@ -286,7 +357,16 @@ def script_tokens(text: str) -> Iterator[tuple[str, int, bool]]:
             tokens = ("GTA" if before in (">", "GTA") and text[start - 1] == ">" else ">",)
         elif kind == "fixed":
             tokens = (raw,)
-            if raw in _OPEN:
+            if jsx and (raw == "<" and not (before in _OPERAND_ENDS or before in _JS_CONTEXT) and elements.begins(start) or raw == "}" and brackets and brackets[-1][2] == "jsx"):
+                if raw == "}":
+                    brackets.pop()
+                at, found = elements.start(start, line) if raw == "<" else elements.resume(at, line)
+                if found and found[-1] == "{":
+                    brackets.append(("}", line, "jsx"))
+                    found.pop()
+                line += len(re.findall(r"\r\n|[\n\r]", text[start:at]))
+                tokens = tuple(found)
+            elif raw in _OPEN:
                 brackets.append((_OPEN[raw], line, before in ("if", "while", "for", "with", "await") and raw == "("))
             elif raw in _CLOSE:
                 if raw == "}" and brackets and brackets[-1][0] == "`":
@@ -304,13 +384,13 @@ def script_tokens(text: str) -> Iterator[tuple[str, int, bool]]:
             tokens = ("INCNL" if broken else "INC",)
         else:
             tokens = ({"assign": "ASSIGN", "arrow": "ARROW", "op": "OP", "dots": "...", "optdot": "OPTDOT", "add": "ADD", "bar": "BAR", "amp": "AMP", "private": "PRIVATE"}[kind],)
-        if before in ("return", "break", "continue") and broken and tokens[0] not in (";", "}"):
+        if before in ("return", "break", "continue") and broken and tokens and tokens[0] not in (";", "}"):
             yield "VSEMI", now, broken
         if before == "throw" and broken:
             raise Invalid(now, "line break after throw")
         for t in tokens:
             yield t, now, broken
-        before, broken = tokens[-1], False
+        before, broken = tokens[-1] if tokens else ",", False
     if brackets:
         raise Invalid(brackets[-1][1], "never closed")
 
@@ -348,8 +428,8 @@ def _recognise(g: Grammar, tokens: Iterator, script: bool) -> None:
         raise Invalid(line, "unexpected end")
 
 
-def first_error(text: str | None, language: str) -> tuple[int, str] | None:
-    """(line, reason) of the first unrecoverable error; None if the text is valid."""
+def first_error(text: str | None, language: str, jsx: bool = False) -> tuple[int, str] | None:
+    """(line, reason) of the first unrecoverable error; None if the text is valid. jsx: scripts may hold elements."""
     if not text or not text.strip():
         return None
     try:
@@ -358,6 +438,12 @@ def first_error(text: str | None, language: str) -> tuple[int, str] | None:
         else:
             _recognise(grammar(language), script_tokens(text), True)
     except Invalid as e:
+        if jsx and language != "python":
+            try:
+                _recognise(grammar(language), script_tokens(text, True), True)
+                return None
+            except Invalid as e:
+                return e.line, e.reason
         return e.line, e.reason
     return None
 
@@ -368,19 +454,25 @@ LANGUAGES = ("python", "typescript", "javascript")
 def judged(records: DataFrame, texts: DataFrame) -> DataFrame:
     """file_id, workspace_id, repo, language, line, reason: the files of known language, line null if valid."""
     language = language_of(F.col("lang"), F.col("repo_relative_path"))
-    one = records.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min(F.struct("workspace_id", "repo", language.alias("language"))).alias("r")).select("file_id", "r.*")
-    text = texts.select("file_id", "text").dropDuplicates(["file_id"])
-    joined = one.where(F.col("language").isin(*LANGUAGES)).join(text, "file_id", "left")
+    jsx = F.coalesce(F.lower("repo_relative_path").rlike(r"\.[jt]sx$"), F.lit(False))
+    one = records.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min(F.struct("workspace_id", "repo", language.alias("language"), jsx.alias("jsx"))).alias("r")).select("file_id", "r.*")
+    digest = F.md5(F.encode("text", "UTF-8")).alias("digest")
+    files = one.where(F.col("language").isin(*LANGUAGES)).join(texts.select("file_id", digest).dropDuplicates(["file_id"]), "file_id", "left")
+    asked = files.where(F.col("digest").isNotNull()).select("digest", "language", "jsx").distinct()
+    # a text moves once, and copies of it are read once
+    once = texts.where(F.col("text").isNotNull()).select(digest, "text").groupBy("digest").agg(F.any_value("text").alias("text")).join(asked, "digest")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            errors = [first_error(t, x) for t, x in zip(b["text"], b["language"], strict=True)]
-            out = b.drop(columns="text")
-            out["line"] = pd.array([e[0] if e else None for e in errors], dtype="Int32")
-            out["reason"] = [e[1] if e else None for e in errors]
+            errors = [first_error(t, x, j) for t, x, j in zip(b["text"], b["language"], b["jsx"], strict=True)]
+            bad = [e is not None for e in errors]
+            out = b.loc[bad, ["digest", "language", "jsx"]]
+            out["line"] = [e[0] for e in errors if e]
+            out["reason"] = [e[1] for e in errors if e]
             yield out
 
-    return joined.mapInPandas(each, "file_id bigint, workspace_id string, repo string, language string, line int, reason string")
+    invalid = once.mapInPandas(each, "digest string, language string, jsx boolean, line int, reason string")
+    return files.join(invalid, ["digest", "language", "jsx"], "left").select("file_id", "workspace_id", "repo", "language", "line", "reason")
 
 
 def rates(files: DataFrame) -> DataFrame:

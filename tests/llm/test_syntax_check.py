@@ -66,3 +66,29 @@ def test_table(spark):
     assert {x["file_id"] for x in got.collect() if x["line"] is not None} == {1, 4}
     assert {(x["repo"], x["language"]): (x["files"], x["invalid"]) for x in sc.rates(got).collect()} == {("r", "python"): (3, 1), ("r", "typescript"): (1, 0), (None, "javascript"): (1, 1)}
     assert sc.judged(records.limit(0), texts).count() == 0
+
+
+JSX = [
+    "export default function A() { return <p>hi</p>; }",
+    "const a = <A b={1} c='x' d {...e} f={<g/>}>text {x.map((y) => <li key={y}>{y}</li>)} {/* no */} <></></A>;\nf(a)",
+    "const f = () => (\n  <>\n    <B.C d:e='1' />\n    {ok && <i>yes</i>}\n  </>\n);",
+    "const x = a < b ? <p/> : <q></q>;",
+]
+
+
+@pytest.mark.parametrize("text", JSX)
+def test_jsx(text):
+    assert sc.first_error(text, "javascript", True) is None and sc.first_error(text, "typescript", True) is None
+    assert sc.first_error(text, "javascript") is not None
+
+
+@pytest.mark.parametrize("text", ["const a = <p>;", "const a = <p></q>;", "const a = <p b=1/>;", "const a = <p>{x</p>;", "const a = <p>}</p>;", "const a = <p/> <q/>;", "return <p", "const a = <p>{x y}</p>;"])
+def test_invalid_jsx(text):
+    assert sc.first_error(text, "javascript", True) is not None
+
+
+def test_copies_and_suffixes(spark):
+    rows = [(1, "w", "r", "a.jsx", None), (2, "w", "r", "a.js", None), (3, "w", "r", "b.jsx", "javascript"), (4, "w", "q", "c.py", None), (5, "w", "q", "d.py", None), (6, "w", "q", "e.txt", None)]
+    texts = [(1, JSX[0]), (2, JSX[0]), (3, JSX[0]), (4, "def f(:"), (5, "def f(:"), (6, "def f(:")]
+    got = sc.judged(spark.createDataFrame(rows, "file_id bigint, workspace_id string, repo string, repo_relative_path string, lang string"), spark.createDataFrame(texts, "file_id bigint, text string")).collect()
+    assert {x["file_id"]: x["line"] for x in got} == {1: None, 2: 1, 3: None, 4: 1, 5: 1}
