@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as fn
 from quillgraph.operators import catalog, chunking, flows, incremental, resolve, search, traverse
+from quillgraph.session import staged
 from quillgraph.sources.tables import table as t
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-_QUERY_TEXT = "parser cache of the hinge reader"
 
 
 def query(name: str, sql: str | None = None):
@@ -36,10 +36,11 @@ def path_normalize(spark, d):
 
 @query(
     "module_fqn",
-    r"""SELECT DISTINCT repo_relative_path, replace(regexp_replace(regexp_replace(regexp_replace(repo_relative_path, '^(?:(?:src|lib)/)+', ''), '\.(?:pyi?|tsx?|mts|cts|jsx?|mjs|cjs)$', ''), CASE WHEN lang = 'python' THEN '(?:^|/)__init__$' ELSE '(?:^|/)index$' END, ''), '/', '.') AS fqn FROM file_record WHERE lang IS NOT NULL""",
+    r"""SELECT DISTINCT repo_relative_path, replace(regexp_replace(regexp_replace(regexp_replace(repo_relative_path, '^(?:(?:src|lib)/)+', ''), '\.(?:pyi?|tsx?|mts|cts|jsx?|mjs|cjs)$', ''), CASE WHEN l = 'python' THEN '(?:^|/)__init__$' ELSE '(?:^|/)index$' END, ''), '/', '.') AS fqn FROM (SELECT repo_relative_path, coalesce(lang, CASE WHEN regexp_matches(repo_relative_path, '\.pyi?$') THEN 'python' WHEN regexp_matches(repo_relative_path, '\.[cm]?[jt]sx?$') THEN 'script' END) AS l FROM file_record) WHERE l IS NOT NULL""",
 )
 def module_fqn(spark, d):
-    return t(spark, d, "file_record").where(F.col("lang").isNotNull()).select("repo_relative_path", fn.module_fqn(F.col("repo_relative_path"), F.col("lang")).alias("fqn")).distinct()
+    lang = fn.language_of(F.col("lang"), F.col("repo_relative_path"))
+    return t(spark, d, "file_record").where(lang.isNotNull()).select("repo_relative_path", fn.module_fqn(F.col("repo_relative_path"), lang).alias("fqn")).distinct()
 
 
 @query("stable_id", "SELECT flow_id, 'httpc_' || substr(sha256(workspace_id || chr(31) || coalesce(client_repo, 'None') || chr(31) || coalesce(client_caller_fqn, 'None') || chr(31) || coalesce(path_template, 'None')), 1, 24) AS id FROM (SELECT DISTINCT flow_id, workspace_id, client_repo, client_caller_fqn, path_template FROM http_flow_edge)")
@@ -139,16 +140,21 @@ def call_edges(spark, d):
     return _edges(spark, d)
 
 
-def _targets(edges, side):
-    """The first symbol with three edges on that side."""
+def _targets(spark, d, edges, side):
+    """Every symbol whose id is divisible by 50, and the one with most edges on that side."""
+    every = t(spark, d, "symbol_def").where("symbol_id % 50 = 0").select(*traverse.NODE).dropna()
     node = [F.col(c).alias(n) for c, n in zip(("workspace_id", f"{side}_repo", f"{side}_fqn"), traverse.NODE, strict=True)]
-    three = edges.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n = 3")
-    return three.orderBy(*traverse.NODE).limit(1).select(*traverse.NODE)
+    hot = edges.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *traverse.NODE).limit(1)
+    return staged(every.unionByName(hot.select(*traverse.NODE)).distinct(), "targets")
+
+
+def _tg(side: str) -> str:
+    return f"""tg AS (SELECT DISTINCT workspace_id, repo, fqn FROM symbol_def WHERE symbol_id % 50 = 0 AND workspace_id IS NOT NULL AND repo IS NOT NULL AND fqn IS NOT NULL
+  UNION SELECT * EXCLUDE (n) FROM (SELECT workspace_id, {side}_repo AS repo, {side}_fqn AS fqn, count(*) AS n FROM edges GROUP BY ALL ORDER BY n DESC, workspace_id, repo, fqn LIMIT 1))"""
 
 
 def _trail_sql(near: str, far: str) -> str:
-    return f"""WITH {_EDGES},
-tg AS (SELECT workspace_id, {near}_repo AS repo, {near}_fqn AS fqn FROM edges GROUP BY ALL HAVING count(*) = 3 ORDER BY ALL LIMIT 1),
+    return f"""WITH {_EDGES}, {_tg(near)},
 a AS (SELECT tg.repo AS target_repo, tg.fqn AS target_fqn, e.workspace_id, e.{far}_repo AS repo, e.{far}_fqn AS fqn, 1 AS hops, least(1.0, coalesce(confidence, 1.0))::DOUBLE AS min_confidence, edge_id AS e1
   FROM tg JOIN edges e ON e.workspace_id = tg.workspace_id AND e.{near}_repo = tg.repo AND e.{near}_fqn = tg.fqn),
 b AS (SELECT a.target_repo, a.target_fqn, e.workspace_id, e.{far}_repo AS repo, e.{far}_fqn AS fqn, 2 AS hops, least(a.min_confidence, coalesce(confidence, 1.0))::DOUBLE AS min_confidence, e1, edge_id AS e2
@@ -160,51 +166,82 @@ SELECT DISTINCT * EXCLUDE (e1) FROM a UNION SELECT DISTINCT * EXCLUDE (e1, e2) F
 
 @query("call_graph_callers", _trail_sql("callee", "caller"))
 def call_graph_callers(spark, d):
-    edges = _edges(spark, d)
-    return traverse.trails(edges, _targets(edges, "callee"), 3, upstream=True)
+    edges = staged(_edges(spark, d), "edges")
+    return traverse.trails(edges, _targets(spark, d, edges, "callee"), 3, upstream=True)
 
 
 @query("call_graph_callees", _trail_sql("caller", "callee"))
 def call_graph_callees(spark, d):
-    edges = _edges(spark, d)
-    return traverse.trails(edges, _targets(edges, "caller"), 3, upstream=False)
+    edges = staged(_edges(spark, d), "edges")
+    return traverse.trails(edges, _targets(spark, d, edges, "caller"), 3, upstream=False)
+
+
+def _messages(spark, d):
+    """Producers and consumers: functions that publish or dispatch something, and those that drain or claim it."""
+    rows = t(spark, d, "symbol_def").where("workspace_id IS NOT NULL AND repo IS NOT NULL AND fqn IS NOT NULL")
+    rows = rows.select("symbol_id", "workspace_id", "repo", F.col("fqn").alias("caller_fqn"), "name", F.lower(F.regexp_extract("name", "([A-Z]?[a-z]+)$", 1)).alias("topic_name")).where("topic_name <> ''").distinct()
+    return rows.where(F.col("name").rlike("^(?:publish|dispatch)")).withColumnRenamed("symbol_id", "producer_id"), rows.where(F.col("name").rlike("^(?:drain|claim)")).withColumnRenamed("symbol_id", "consumer_id")
 
 
-_HTTP = "http AS (SELECT DISTINCT workspace_id, client_caller_fqn, client_repo, route_handler_fqn, route_repo, method, path_template FROM http_flow_edge)"
+_MESSAGES = """ms AS (SELECT DISTINCT symbol_id, workspace_id, repo, fqn AS caller_fqn, name, lower(regexp_extract(name, '([A-Z]?[a-z]+)$', 1)) AS topic_name FROM symbol_def WHERE workspace_id IS NOT NULL AND repo IS NOT NULL AND fqn IS NOT NULL AND regexp_matches(name, '[a-z]$')),
+mp AS (SELECT * FROM ms WHERE regexp_matches(name, '^(?:publish|dispatch)')), mc AS (SELECT * FROM ms WHERE regexp_matches(name, '^(?:drain|claim)'))"""
+_HTTP = "http AS (SELECT workspace_id, client_caller_fqn, client_repo, route_handler_fqn, route_repo, method, path_template, max(match_score) AS match_score FROM http_flow_edge GROUP BY ALL)"
 
 
 @query(
     "impact_analysis",
-    f"""WITH RECURSIVE {_EDGES}, {_HTTP},
-tg AS (SELECT workspace_id, callee_repo AS repo, callee_fqn AS fqn FROM edges GROUP BY ALL HAVING count(*) = 3 ORDER BY ALL LIMIT 1),
-up AS (SELECT workspace_id, repo, fqn, 0 AS n FROM tg UNION SELECT e.workspace_id, e.caller_repo, e.caller_fqn, n + 1 FROM up JOIN edges e ON e.workspace_id = up.workspace_id AND e.callee_repo = up.repo AND e.callee_fqn = up.fqn WHERE n < 5),
-down AS (SELECT workspace_id, repo, fqn, 0 AS n FROM tg UNION SELECT e.workspace_id, e.callee_repo, e.callee_fqn, n + 1 FROM down JOIN edges e ON e.workspace_id = down.workspace_id AND e.caller_repo = down.repo AND e.caller_fqn = down.fqn WHERE n < 3),
-r AS (SELECT 'upstream_symbol' AS kind, repo, fqn, '' AS detail FROM up WHERE n > 0
-  UNION SELECT 'handled_route', down.repo, down.fqn, concat_ws(' ', method, path_template) FROM down JOIN http ON http.workspace_id = down.workspace_id AND http.route_repo = down.repo AND http.route_handler_fqn = down.fqn
-  UNION SELECT 'http_inbound', client_repo, client_caller_fqn, concat_ws(' ', method, path_template) FROM up JOIN http ON http.workspace_id = up.workspace_id AND http.route_repo = up.repo AND http.route_handler_fqn = up.fqn)
-SELECT tg.repo AS target_repo, tg.fqn AS target_fqn, r.* FROM r, tg""",
+    f"""WITH RECURSIVE {_EDGES}, {_HTTP}, {_MESSAGES}, {_tg("callee")},
+t0 AS (SELECT workspace_id, repo AS target_repo, fqn AS target_fqn FROM tg),
+up AS (SELECT *, target_repo AS repo, target_fqn AS fqn, 0 AS n FROM t0 UNION SELECT up.workspace_id, target_repo, target_fqn, e.caller_repo, e.caller_fqn, n + 1 FROM up JOIN edges e ON e.workspace_id = up.workspace_id AND e.callee_repo = up.repo AND e.callee_fqn = up.fqn WHERE n < 5),
+down AS (SELECT *, target_repo AS repo, target_fqn AS fqn, 0 AS n FROM t0 UNION SELECT down.workspace_id, target_repo, target_fqn, e.callee_repo, e.callee_fqn, n + 1 FROM down JOIN edges e ON e.workspace_id = down.workspace_id AND e.caller_repo = down.repo AND e.caller_fqn = down.fqn WHERE n < 3)
+SELECT workspace_id, target_repo, target_fqn, 'upstream_symbol' AS kind, repo, fqn, '' AS detail FROM up WHERE n > 0
+UNION SELECT down.workspace_id, target_repo, target_fqn, 'handled_route', down.repo, down.fqn, concat_ws(' ', method, path_template) FROM down JOIN http ON http.workspace_id = down.workspace_id AND http.route_repo = down.repo AND http.route_handler_fqn = down.fqn
+UNION SELECT up.workspace_id, target_repo, target_fqn, 'http_inbound', client_repo, client_caller_fqn, concat_ws(' ', method, path_template) FROM up JOIN http ON http.workspace_id = up.workspace_id AND http.route_repo = up.repo AND http.route_handler_fqn = up.fqn
+UNION SELECT up.workspace_id, target_repo, target_fqn, 'kafka_inbound', mp.repo, mp.caller_fqn, mp.topic_name FROM up JOIN mp ON mp.workspace_id = up.workspace_id AND mp.repo = up.repo AND mp.caller_fqn = up.fqn""",
 )
 def impact_analysis(spark, d):
-    edges = _edges(spark, d)
-    return traverse.impact(edges, t(spark, d, "http_flow_edge"), _targets(edges, "callee"))
+    edges = staged(_edges(spark, d), "edges")
+    return traverse.impact(edges, t(spark, d, "http_flow_edge"), _targets(spark, d, edges, "callee"), producers=_messages(spark, d)[0])
 
 
-@query(
-    "trace_http_flow",
-    f"""WITH RECURSIVE {_EDGES}, {_HTTP},
-h AS (SELECT DISTINCT workspace_id, route_repo, method, path_template, route_handler_fqn AS handler FROM http WHERE route_handler_fqn IS NOT NULL AND route_handler_fqn <> ''),
+def _trace_sql(where: str) -> str:
+    return f"""WITH RECURSIVE {_EDGES}, {_HTTP},
+ht AS (SELECT * FROM http WHERE workspace_id IS NOT NULL AND route_repo IS NOT NULL AND method IS NOT NULL AND path_template IS NOT NULL {where}),
+h AS (SELECT DISTINCT workspace_id, route_repo, method, path_template, route_handler_fqn AS handler FROM ht WHERE route_handler_fqn IS NOT NULL AND route_handler_fqn <> ''),
 st AS (SELECT DISTINCT workspace_id, route_repo AS target_repo, handler AS target_fqn FROM h),
 down AS (SELECT workspace_id, target_repo, target_fqn, target_repo AS repo, target_fqn AS fqn, 0 AS n FROM st
   UNION SELECT e.workspace_id, target_repo, target_fqn, e.callee_repo, e.callee_fqn, n + 1 FROM down JOIN edges e ON e.workspace_id = down.workspace_id AND e.caller_repo = down.repo AND e.caller_fqn = down.fqn WHERE n < 3),
-x AS (SELECT h.workspace_id, h.route_repo, h.method, h.path_template, string_agg(DISTINCT down.repo || '|' || down.fqn, ',' ORDER BY down.repo || '|' || down.fqn) AS downstream FROM h JOIN down ON down.workspace_id = h.workspace_id AND down.target_repo = h.route_repo AND down.target_fqn = h.handler WHERE n > 0 GROUP BY ALL),
-k AS (SELECT workspace_id, route_repo, method, path_template FROM http GROUP BY ALL),
-hh AS (SELECT workspace_id, route_repo, method, path_template, string_agg(DISTINCT handler, ',' ORDER BY handler) AS handlers FROM h GROUP BY ALL),
-cc AS (SELECT workspace_id, route_repo, method, path_template, string_agg(DISTINCT concat_ws('|', client_repo, client_caller_fqn), ',' ORDER BY concat_ws('|', client_repo, client_caller_fqn)) AS callers FROM http WHERE client_caller_fqn IS NOT NULL GROUP BY ALL)
-SELECT k.*, coalesce(handlers, '') AS handlers, coalesce(callers, '') AS callers, coalesce(downstream, '') AS downstream FROM k LEFT JOIN hh USING (workspace_id, route_repo, method, path_template) LEFT JOIN cc USING (workspace_id, route_repo, method, path_template) LEFT JOIN x USING (workspace_id, route_repo, method, path_template)""",
-)
+x AS (SELECT workspace_id, route_repo, method, path_template, 'handler' AS role, route_repo AS repo, handler AS fqn, NULL::DOUBLE AS match_score FROM h
+  UNION ALL SELECT workspace_id, route_repo, method, path_template, 'caller', client_repo, client_caller_fqn, max(match_score) FROM ht WHERE client_caller_fqn IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT DISTINCT h.workspace_id, h.route_repo, h.method, h.path_template, 'downstream', down.repo, down.fqn, NULL::DOUBLE FROM h JOIN down ON down.workspace_id = h.workspace_id AND down.target_repo = h.route_repo AND down.target_fqn = h.handler WHERE n > 0),
+k AS (SELECT DISTINCT workspace_id, route_repo, method, path_template FROM ht)
+SELECT k.*, role, repo, fqn, match_score FROM k LEFT JOIN x USING (workspace_id, route_repo, method, path_template)"""
+
+
+def _routes(spark, d):
+    return t(spark, d, "http_flow_edge").where("workspace_id IS NOT NULL AND route_repo IS NOT NULL AND method IS NOT NULL AND path_template IS NOT NULL")
+
+
+@query("trace_http_flow", _trace_sql(""))
 def trace_http_flow(spark, d):
-    flows_ = t(spark, d, "http_flow_edge").where("workspace_id IS NOT NULL AND route_repo IS NOT NULL AND method IS NOT NULL AND path_template IS NOT NULL")
-    return traverse.trace_http(flows_, _edges(spark, d))
+    return traverse.trace_http(_routes(spark, d), staged(_edges(spark, d), "edges"))
+
+
+_ROUTE = "SELECT workspace_id, path_template, count(*) AS n FROM http_flow_edge WHERE workspace_id IS NOT NULL AND route_repo IS NOT NULL AND method IS NOT NULL GROUP BY ALL ORDER BY n DESC, workspace_id, path_template LIMIT 1"
+
+
+@query("trace_http_route", _trace_sql(f"AND method IN ('GET', '*') AND (workspace_id, path_template) = (SELECT (workspace_id, path_template) FROM ({_ROUTE}))"))
+def trace_http_route(spark, d):
+    """The flows of one route, by GET: the one with most flows."""
+    routes = _routes(spark, d)
+    hot = routes.groupBy("workspace_id", "path_template").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "workspace_id", "path_template").first()
+    workspace, path = (hot["workspace_id"], hot["path_template"]) if hot else ("", "")
+    return traverse.trace_http(routes, staged(_edges(spark, d), "edges"), 3, workspace, "GET", path)
+
+
+@query("trace_message_topic", f"WITH {_MESSAGES} SELECT workspace_id, topic_name, 'producer' AS role, repo, caller_fqn FROM mp UNION SELECT workspace_id, topic_name, 'consumer', repo, caller_fqn FROM mc")
+def trace_message_topic(spark, d):
+    return traverse.trace_topic(*_messages(spark, d))
 
 
 # ---- flows --------------------------------------------------------------------------------------
@@ -257,47 +294,89 @@ def trace_topic(spark, d):
 
 # ---- search -------------------------------------------------------------------------------------
 
-
-def _symbol_query(name: str, mode: str, pick: str, sql: str) -> None:
+_WORDS = r"'[\p{L}\p{N}_]+'"
+_SR = "sr AS (SELECT workspace_id, repo, fqn, min({'i': symbol_id, 'n': name, 's': signature, 'd': docstring}) AS s, min({'i': symbol_id, 'p': file_path, 'a': start_line, 'e': end_line, 'k': kind}) AS p FROM symbol_def WHERE fqn IS NOT NULL GROUP BY ALL)"
+_WANTED = f"""wt AS (SELECT symbol_id AS lookup_id, min({{'w': workspace_id, 'f': fqn, 'n': name, 'd': docstring}}) AS s FROM symbol_def WHERE symbol_id % 50 = 0 AND workspace_id IS NOT NULL GROUP BY 1),
+wd AS (SELECT lookup_id, s.w AS w, s.f AS f, s.n AS n, array_to_string(list_slice(regexp_extract_all(lower(coalesce(s.d, '')), {_WORDS}), 1, 3), ' ') AS d FROM wt)"""
+_PLACE = "workspace_id, repo, fqn, p.p AS file_path, p.a AS start_line, p.e AS end_line, p.k AS kind"
+
+
+def _mode_sql(mode: str, wanted: str) -> str:
+    """The lookups of one mode as the table `mode`, for the names in `wanted` (lookup_id, w, name)."""
+    if mode == "exact":
+        hits = f"SELECT lookup_id, {_PLACE}, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY lookup_id ORDER BY repo, workspace_id) AS r FROM {wanted} q JOIN sr ON sr.workspace_id = q.w AND sr.fqn = q.name WHERE name <> ''"
+    elif mode == "suffix":
+        hits = f"SELECT lookup_id, {_PLACE}, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY lookup_id ORDER BY length(fqn), fqn, repo, workspace_id) AS r FROM {wanted} q JOIN sr ON sr.workspace_id = q.w AND ends_with(sr.fqn, q.name) WHERE length(name) >= 3"
+    else:
+        return f"""sd AS (SELECT *, regexp_extract_all(lower(concat_ws(' ', coalesce(s.n, ''), coalesce(s.s, ''), coalesce(s.d, ''))), {_WORDS}) AS words FROM sr),
+sst AS (SELECT count(*) AS docs, avg(len(words)) AS length FROM sd),
+sdf AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM sd) GROUP BY 1),
+ph AS (SELECT lookup_id, w, regexp_extract_all(lower(name), {_WORDS}) AS ps FROM {wanted} WHERE name <> ''),
+pi AS (SELECT lookup_id, sum(ln(1e0 + (docs - df + 0.5e0) / (df + 0.5e0))) AS idf FROM (SELECT lookup_id, unnest(ps) AS term FROM ph) JOIN sdf USING (term), sst GROUP BY 1),
+fz AS (SELECT lookup_id, {_PLACE}, len(words) AS n, len(list_filter(range(1, len(words) - len(ps) + 2), lambda i: words[i:i + len(ps) - 1] = ps)) AS tf FROM ph JOIN sd ON sd.workspace_id = ph.w WHERE len(ps) > 0),
+fs AS (SELECT fz.* EXCLUDE (n, tf), round(idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * n / length)), 4) AS score FROM fz JOIN pi USING (lookup_id), sst WHERE tf > 0),
+fuzzy AS (SELECT * EXCLUDE (r), 'fuzzy' AS match_mode FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY score DESC, workspace_id, repo, fqn) AS r FROM fs) WHERE r <= 10)"""
+    return f"{mode} AS (SELECT * EXCLUDE (r), '{mode}' AS match_mode FROM ({hits}) WHERE r <= 10)"
+
+
+def _wanted(spark, d, name: str):
+    """Lookups from every symbol whose id is divisible by 50: by its full name, its simple name, or the first three words of its
+    documentation; `mixed` takes turns."""
+    rows = t(spark, d, "symbol_def").where("symbol_id % 50 = 0 AND workspace_id IS NOT NULL").groupBy(F.col("symbol_id").alias("lookup_id")).agg(F.min(F.struct("workspace_id", "fqn", "name", "docstring")).alias("s"))
+    words = F.array_join(F.slice(fn.tokens(F.coalesce("s.docstring", F.lit(""))), 1, 3), " ")
+    turn = F.when(F.col("lookup_id") % 150 == 0, F.col("s.fqn")).when(F.col("lookup_id") % 150 == 50, F.col("s.name")).otherwise(words)
+    return rows.select("lookup_id", "s.workspace_id", {"full": F.col("s.fqn"), "simple": F.col("s.name"), "words": words, "mixed": turn}[name].alias("name"))
+
+
+def _symbol_index(spark, d):
+    return search.kept_index(spark, f"{d}/symbol_def.parquet", "symbols", search.SYMBOL, lambda folder: search.symbol_index(t(spark, d, "symbol_def"), folder))
+
+
+def _lookup(mode: str, name: str):
     def run(spark, d):
-        symbols = t(spark, d, "symbol_def")
-        wanted = symbols.agg(F.expr(pick)).first()[0] or ""
-        return search.find_symbols(symbols, wanted, mode)
-
-    QUERIES[name], SQL[name] = run, sql
-
+        index = _symbol_index(spark, d) if mode in ("fuzzy", "auto") else None
+        return search.lookup(t(spark, d, "symbol_def"), _wanted(spark, d, name), mode, 10, index)
 
-_FIRST = "max(CASE WHEN kind = 'function' THEN {} END)"
-_symbol_query("symbol_exact", "exact", _FIRST.format("fqn"), "SELECT fqn, repo, 1.0::DOUBLE AS score, 'exact' AS match_mode FROM symbol_def WHERE fqn = (SELECT max(fqn) FROM symbol_def WHERE kind = 'function') GROUP BY fqn, repo ORDER BY repo LIMIT 10")
-_symbol_query("symbol_suffix", "suffix", _FIRST.format("name"), "SELECT fqn, repo, 1.0::DOUBLE AS score, 'suffix' AS match_mode FROM symbol_def WHERE ends_with(fqn, (SELECT max(name) FROM symbol_def WHERE kind = 'function')) GROUP BY fqn, repo ORDER BY length(fqn), fqn, repo LIMIT 10")
-_symbol_query("symbol_auto", "auto", _FIRST.format("name"), "SELECT fqn, repo, 1.0::DOUBLE AS score, 'suffix' AS match_mode FROM symbol_def WHERE ends_with(fqn, (SELECT max(name) FROM symbol_def WHERE kind = 'function')) GROUP BY fqn, repo ORDER BY length(fqn), fqn, repo LIMIT 10")
+    return run
 
 
-@query("symbol_fuzzy")
-def symbol_fuzzy(spark, d):
-    return search.find_symbols(t(spark, d, "symbol_def"), "must hold the", "fuzzy", 50)
+for _mode, _name, _column in (("exact", "full", "f"), ("suffix", "simple", "n"), ("fuzzy", "words", "d")):
+    QUERIES[f"symbol_{_mode}"] = _lookup(_mode, _name)
+    SQL[f"symbol_{_mode}"] = f"WITH {_SR}, {_WANTED}, q0 AS (SELECT lookup_id, w, {_column} AS name FROM wd), {_mode_sql(_mode, 'q0')} SELECT * FROM {_mode}"
+QUERIES["symbol_auto"] = _lookup("auto", "mixed")
+SQL["symbol_auto"] = f"""WITH {_SR}, {_WANTED}, q0 AS (SELECT lookup_id, w, CASE lookup_id % 150 WHEN 0 THEN f WHEN 50 THEN n ELSE d END AS name FROM wd), {_mode_sql("exact", "q0")},
+q1 AS (SELECT * FROM q0 WHERE lookup_id NOT IN (SELECT lookup_id FROM exact)), {_mode_sql("suffix", "q1")},
+q2 AS (SELECT * FROM q1 WHERE lookup_id NOT IN (SELECT lookup_id FROM suffix)), {_mode_sql("fuzzy", "q2")}
+SELECT * FROM exact UNION ALL SELECT * FROM suffix UNION ALL SELECT * FROM fuzzy"""
+
+_BM25 = rf"""
+qs AS (SELECT query_id, min(workspace_id) AS w, min(query_text) AS t FROM search_hit WHERE query_id % 50 = 0 GROUP BY 1),
+n AS (SELECT doc_id, workspace_id, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS words, len(regexp_extract_all(lower(coalesce(text, '')), {_WORDS})) AS n FROM documents), st AS (SELECT count(*) AS docs, avg(n) AS length FROM n),
+tm AS (SELECT DISTINCT query_id, w, unnest(regexp_extract_all(lower(t), {_WORDS})) AS term FROM qs),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM n) GROUP BY 1),
+tf AS (SELECT query_id, doc_id, n, term, len(list_filter(words, lambda x: x = term)) AS tf FROM tm JOIN n ON n.workspace_id = tm.w OR tm.w IS NULL),
+sc AS (SELECT query_id, doc_id, round(sum(ln(1e0 + (docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * n / length))), 6) AS score FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY 1, 2),
+lex AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM sc) WHERE r <= 30)"""
+_VEC = """
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+vs AS (SELECT query_id, vec_id AS doc_id, round((1 + list_dot_product(embedding::DOUBLE[], e) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(e, e)))) / 2, 6) AS score FROM embeddings, q),
+vec AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM vs) WHERE r <= 30)"""
 
 
-_BM25 = r"""
-w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
-n AS (SELECT doc_id, len(words) AS n, words FROM w), st AS (SELECT count(*) AS docs, avg(n) AS length FROM n),
-tm AS (SELECT unnest(['parser', 'cache', 'of', 'the', 'hinge', 'reader']) AS term),
-tf AS (SELECT doc_id, n, term, len(list_filter(words, lambda x: x = term)) AS tf FROM n, tm),
-df AS (SELECT term, count(CASE WHEN tf > 0 THEN 1 END) AS df FROM tf GROUP BY 1),
-sc AS (SELECT doc_id, round(sum(ln(1e0 + (docs - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * n / length))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY 1),
-lex AS (SELECT doc_id, score FROM sc WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 30)"""
-_VEC = """
-q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
-vec AS (SELECT vec_id AS doc_id, round((1 + list_dot_product(embedding::DOUBLE[], e) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(e, e)))) / 2, 6) AS score FROM embeddings, q ORDER BY score DESC, doc_id LIMIT 30)"""
+def _asked(spark, d):
+    return t(spark, d, "search_hit").where("query_id % 50 = 0").groupBy("query_id").agg(F.min("workspace_id").alias("workspace_id"), F.min("query_text").alias("text"))
 
 
 def _lexical(spark, d):
-    return search.bm25(t(spark, d, "documents"), "doc_id", F.col("text"), _QUERY_TEXT, 30)
+    def build(folder):
+        return search.LexicalIndex.build(t(spark, d, "documents"), ["doc_id"], F.col("text"), folder, "workspace_id")
+
+    return search.kept_index(spark, f"{d}/documents.parquet", "documents", ["doc_id"], build).search(_asked(spark, d), 30)
 
 
 def _vector(spark, d):
     vectors = t(spark, d, "embeddings")
-    wanted = vectors.where("vec_id = 0").first()["embedding"]
+    wanted = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return search.vector_topk(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "embedding", wanted, 30)
 
 
@@ -314,11 +393,19 @@ def vector_topk(spark, d):
 @query(
     "hybrid_rrf",
     f"""WITH {_BM25}, {_VEC},
-r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 'lexical' AS source FROM lex UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id), 'vector' FROM vec)
-SELECT doc_id, round(sum(1e0 / (60 + rank)), 6) AS rrf_score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM r GROUP BY 1 ORDER BY rrf_score DESC, doc_id LIMIT 10""",
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, 'lexical' AS source FROM lex UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id), 'vector' FROM vec),
+f AS (SELECT query_id, doc_id, round(sum(1e0 / (60 + rank)), 6) AS rrf_score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM r GROUP BY 1, 2)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS r FROM f) WHERE r <= 10""",
 )
 def hybrid_rrf(spark, d):
-    return search.fuse({"lexical": _lexical(spark, d), "vector": _vector(spark, d)}, "doc_id", 10)
+    return search.fuse({"lexical": _lexical(spark, d), "vector": _vector(spark, d)}, "doc_id", 10, by=["query_id"])
+
+
+@query("code_search")
+def code_search(spark, d):
+    """Symbols and chunks for every query whose id is divisible by 50; its vector comes from the provider."""
+    embed = lambda df: chunking.embed(df, "text", dim=64, provider=lambda texts: [chunking.hash_embedding(x, 64) for x in texts]).withColumnRenamed("embedding", "vector")
+    return search.code_search(_symbol_index(spark, d), t(spark, d, "symbol_def"), t(spark, d, "chunk"), _asked(spark, d), embed)
 
 
 @query("postings", r"SELECT term, symbol_id, count(*) AS tf, any_value(n) AS doc_length FROM (SELECT symbol_id, unnest(words) AS term, len(words) AS n FROM (SELECT symbol_id, regexp_extract_all(lower(any_value(docstring)), '[\p{L}\p{N}_]+') AS words FROM symbol_def WHERE docstring IS NOT NULL GROUP BY symbol_id)) GROUP BY 1, 2")
@@ -443,8 +530,7 @@ def symbols_by_kind(spark, d):
 
 
 def _sources(spark, d, kind: str):
-    # the SQL of extract_module takes only files whose language is given
-    lang = F.col("lang") if kind == "module" else fn.language_of(F.col("lang"), F.col("repo_relative_path"))
+    lang = fn.language_of(F.col("lang"), F.col("repo_relative_path"))
     one = t(spark, d, "file_record").withColumn("lang", lang).where("file_id IS NOT NULL AND lang IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("workspace_id", "repo", F.col("repo_relative_path").alias("file_path"), "lang")).alias("f")).select("file_id", "f.*")
     return one.join(t(spark, d, "source_text"), "file_id")
 
@@ -464,7 +550,4 @@ for _kind in ("symbol", "import", "call", "route", "client", "producer", "consum
 SQL["extract_module"] = r"""SELECT file_id, workspace_id, repo, path AS file_path, 0 AS seq, 1 AS start_line,
   replace(regexp_replace(regexp_replace(regexp_replace(path, '^(?:(?:src|lib)/)+', ''), '\.(?:pyi?|tsx?|mts|cts|jsx?|mjs|cjs)$', ''), CASE WHEN lang = 'python' THEN '(?:^|/)__init__$' ELSE '(?:^|/)index$' END, ''), '/', '.') AS fqn,
   CASE WHEN regexp_matches(path, '(^|/)__init__\.pyi?$') THEN 'package' ELSE 'module' END AS symbol_kind
-FROM (SELECT DISTINCT file_id, workspace_id, repo, repo_relative_path AS path, lang FROM file_record WHERE lang IS NOT NULL) JOIN source_text USING (file_id) WHERE text IS NOT NULL"""
-SQL["symbol_fuzzy"] = r"""WITH s AS (SELECT fqn, repo, ' ' || array_to_string(regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(signature, ''), coalesce(docstring, ''))), '[\p{L}\p{N}_]+'), ' ') || ' ' AS w FROM symbol_def),
-h AS (SELECT fqn, repo, max((length(w) - length(replace(w, ' must hold the ', ' '))) // 14)::DOUBLE AS score FROM s GROUP BY ALL)
-SELECT fqn, repo, score, 'fuzzy' AS match_mode FROM h WHERE score > 0 ORDER BY score DESC, fqn, repo LIMIT 50"""
+FROM (SELECT DISTINCT file_id, workspace_id, repo, repo_relative_path AS path, coalesce(lang, CASE WHEN regexp_matches(repo_relative_path, '\.pyi?$') THEN 'python' ELSE 'script' END) AS lang FROM file_record WHERE lang IS NOT NULL OR regexp_matches(repo_relative_path, '\.(?:pyi?|[cm]?[jt]sx?)$')) JOIN source_text USING (file_id) WHERE text IS NOT NULL"""

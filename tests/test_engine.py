@@ -195,3 +195,91 @@ def test_embedding_of_whole_texts(spark):
     rows = spark.createDataFrame([(1, "a " * 70_000), (2, "a " * 70_000 + "tail")], "chunk_id bigint, text string")
     first, second = (x["embedding"] for x in chunking.embed(rows).orderBy("chunk_id").collect())
     assert first != second
+
+
+SYMBOL_ROWS = [(1, "w", "r", "m.cache.load_entry", "load_entry", "def load_entry(key)", "Load an entry of the cache.", "function", "m/cache.py", 1, 5), (2, "v", "r", "m.cache.load_entry", "load_entry", "def load_entry(key)", "Load an entry of the cache.", "function", "m/cache.py", 1, 5), (3, "w", "q", "m.parser.read", "read", "def read(text)", "Read the text.", "function", "m/parser.py", 1, 5), (1, "w", "r", "m.cache.load_entry", "load_entry", "def load_entry(key)", "Load an entry of the cache.", "function", "m/cache.py", 1, 5), (4, "w", "r", "m.cache.preload_entry", None, None, None, None, None, None, None)]
+SYMBOL_SCHEMA = "symbol_id bigint, workspace_id string, repo string, fqn string, name string, signature string, docstring string, kind string, file_path string, start_line int, end_line int"
+
+
+def test_lookup_by_workspace(spark):
+    symbols = spark.createDataFrame(SYMBOL_ROWS, SYMBOL_SCHEMA)
+    found = lambda *a, **k: [(x["workspace_id"], x["fqn"], x["match_mode"]) for x in search.find_symbols(symbols, *a, **k).collect()]
+    assert found("m.cache.load_entry", "exact", workspace="w") == [("w", "m.cache.load_entry", "exact")]
+    assert len(found("m.cache.load_entry", "exact")) == 2 and found("m.cache.load_entry", "exact", workspace="x") == []
+    assert found("load_entry", "suffix", workspace="w") == [("w", "m.cache.load_entry", "suffix"), ("w", "m.cache.preload_entry", "suffix")]
+    assert found("entry of the CACHE", "auto", workspace="v") == [("v", "m.cache.load_entry", "fuzzy")]
+    assert found("cache entry of", "fuzzy", workspace="w") == [] == found("", "auto")
+    wanted = spark.createDataFrame([(1, "w", "m.parser.read"), (2, "w", "ad_entry"), (3, "w", "Read the text"), (4, "w", "no such thing"), (5, None, "m.parser.read")], "lookup_id int, workspace_id string, name string")
+    got = search.lookup(symbols, wanted, "auto", 1).collect()
+    assert {(x["lookup_id"], x["fqn"], x["match_mode"]) for x in got} == {(1, "m.parser.read", "exact"), (2, "m.cache.load_entry", "suffix"), (3, "m.parser.read", "fuzzy"), (5, "m.parser.read", "exact")}
+
+
+def test_vectors_of_one_scope(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 3)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 2)
+    rows = [(f"k{i}", "w" if i % 2 else "v", [float(i + 1), 1.0]) for i in range(10)] + [("z", "w", [0.0, 0.0]), ("n", "w", None), ("s", "w", [1.0])]
+    vectors = spark.createDataFrame(rows, "id string, ws string, e array<double>")
+    queries = spark.createDataFrame([(i, "w", [1.0, float(i)]) for i in range(5)] + [(9, "w", None)], "query_id int, ws string, vector array<double>")
+    got = {}
+    for x in search.vector_topk(vectors, "id", "e", queries, 3, "ws").collect():
+        got.setdefault(x["query_id"], []).append((-x["score"], x["id"]))
+
+    def cosine(a, b):
+        return round((1 + (a[0] * b[0] + a[1] * b[1]) / ((a[0] ** 2 + a[1] ** 2) ** 0.5 * (b[0] ** 2 + b[1] ** 2) ** 0.5)) / 2, 6)
+
+    want = {i: sorted((-cosine((1.0, float(i)), e), k) for k, ws, e in rows[:10] if ws == "w")[:3] for i in range(5)}
+    assert {i: sorted(x) for i, x in got.items()} == want
+
+
+def test_code_search(spark, tmp_path):
+    symbols = spark.createDataFrame(SYMBOL_ROWS, SYMBOL_SCHEMA)
+    index = search.symbol_index(symbols, f"file://{tmp_path}/index")
+    texts = {"c1": "load the cache", "c2": "something else", "c3": "load the cache"}
+    chunks = spark.createDataFrame([(i, "w" if i != "c3" else "v", "r", "f.py", 1, 2, [float(x) for x in chunking.hash_embedding(text, 8)]) for i, text in texts.items()], "chunk_id string, workspace_id string, repo string, file_path string, start_line int, end_line int, embedding array<float>")
+    embed = lambda df: chunking.embed(df, dim=8, provider=lambda t: [chunking.hash_embedding(x, 8) for x in t]).withColumnRenamed("embedding", "vector")
+    queries = spark.createDataFrame([(1, "w", "load the cache"), (2, "w", "  ")], "query_id int, workspace_id string, text string")
+    got = search.code_search(index, symbols, chunks, queries, embed).collect()
+    assert {x["query_id"] for x in got} == {1} and {x["workspace_id"] for x in got} == {"w"}
+    ranks = {(x["kind"], x["fqn"] or x["chunk_id"]): x["rrf_score"] for x in got}
+    assert ranks[("Symbol", "m.cache.load_entry")] == ranks[("Chunk", "c1")] == round(1 / 61, 6) and ("Chunk", "c3") not in ranks
+    assert search.code_search(index, symbols, chunks, queries, embed, lexical_k=0).where("kind = 'Symbol'").count() == 0
+    with pytest.raises(ValueError):
+        search.code_search(index, symbols, chunks, queries, embed, lexical_k=0, vector_k=0)
+
+
+def test_impact_and_traces(spark):
+    edges = spark.createDataFrame([(1, "w", "r", "a", "r", "b", 0.9), (2, "w", "r", "b", "r", "c", None), (3, "w", "r", "c", "r", "a", 0.5), (4, "v", "r", "x", "r", "b", 0.7)], EDGE)
+    http = spark.createDataFrame([("w", "r", "a", "GET", "/u/{}", "q", "k", 0.8), ("w", "r", "a", "GET", "/u/{}", "q", "k", 1.0), ("w", "r", "z", "*", "/z", None, None, 1.0)], "workspace_id string, route_repo string, route_handler_fqn string, method string, path_template string, client_repo string, client_caller_fqn string, match_score double")
+    producers = spark.createDataFrame([("w", "r", "a", "orders"), ("v", "r", "a", "other"), ("w", "r", None, "none"), ("w", "r", "a", "<dynamic>")], "workspace_id string, repo string, caller_fqn string, topic_name string")
+    target = spark.createDataFrame([("w", "r", "b")], "workspace_id string, repo string, fqn string")
+    got = {(x["kind"], x["fqn"], x["detail"]) for x in traverse.impact(edges, http, target, producers=producers).collect()}
+    assert got == {("upstream_symbol", f, "") for f in "abc"} | {("handled_route", "a", "GET /u/{}"), ("http_inbound", "k", "GET /u/{}"), ("kafka_inbound", "a", "orders"), ("kafka_inbound", "a", "<dynamic>")}
+    trace = {(x["path_template"], x["role"], x["fqn"], x["match_score"]) for x in traverse.trace_http(http, edges, 2, "w", "get", "/u/{}").collect()}
+    assert trace == {("/u/{}", "handler", "a", None), ("/u/{}", "caller", "k", 1.0), ("/u/{}", "downstream", "b", None), ("/u/{}", "downstream", "c", None)}
+    assert traverse.trace_http(http, edges, 2, "w", "POST", "/u/{}").count() == 0 and traverse.trace_http(http, edges, 2, "w", "POST", "/z").count() == 1
+    assert {(x["role"], x["caller_fqn"]) for x in traverse.trace_topic(producers, producers.limit(0), "w").collect()} == {("producer", "a"), ("producer", None)}
+    assert traverse.trace_topic(producers, producers, "w", "orders").count() == 2
+
+
+def test_tools(spark, tmp_path):
+    from quillgraph.operators import tools
+
+    symbols = spark.createDataFrame(SYMBOL_ROWS, SYMBOL_SCHEMA)
+    edges = spark.createDataFrame([(1, "w", "q", "m.parser.read", "r", "m.cache.load_entry", 0.9)], EDGE)
+    out = tools.call_graph(edges, symbols, "w", "load_entry", mode="suffix")
+    assert out["target"]["fqn"] == "m.cache.load_entry" and out["match_mode_used"] == "suffix" and len(out["candidates"]) == 2
+    assert [x["fqn"] for x in out["callers"].collect()] == ["m.parser.read"] and out["callees"].count() == 0
+    assert tools.call_graph(edges, symbols, "w", "nothing.here")["candidates"] == []
+    assert tools.call_graph(edges, symbols, "w", "m.cache.load_entry", direction="callers")["callees"] is None
+    http = spark.createDataFrame([], "workspace_id string, route_repo string, route_handler_fqn string, method string, path_template string, client_repo string, client_caller_fqn string, match_score double")
+    assert {x["kind"] for x in tools.impact_analysis(edges, symbols, http, None, "w", "m.cache.load_entry")["impact"].collect()} == {"upstream_symbol"}
+    flows_ = tools.trace_http_flow(http, edges, "w", "get", "/users/:id/")
+    assert (flows_["method"], flows_["path"], flows_["flows"].count()) == ("GET", "/users/{}", 0)
+    for bad in (lambda: tools.call_graph(edges, symbols, "W!", "a.b"), lambda: tools.call_graph(edges, symbols, "w", "a b"), lambda: tools.call_graph(edges, symbols, "w", "a.b", depth=6), lambda: tools.call_graph(edges, symbols, "w", "a.b", direction="up"), lambda: tools.call_graph(edges, symbols, "w", "a.b", mode="other"), lambda: tools.trace_http_flow(http, edges, "w", " ", "/a"), lambda: tools.workspace_manage({}, symbols, "stats")):
+        with pytest.raises(ValueError):
+            bad()
+    tables = {"symbol": (symbols, ["workspace_id", "repo", "fqn"])}
+    assert tools.workspace_manage(tables, symbols, "stats", "w") == {"workspace": "w", "stats": {"repos": 2, "symbol": 3}}
+    assert tools.workspace_manage(tables, symbols, "stats", "no") == {"workspace": None, "stats": {}}
+    assert {x["workspace_id"] for x in tools.workspace_manage(tables, symbols, "list")["workspaces"].collect()} == {"v", "w"}
+    assert tools.semantic_code_search(None, symbols, symbols, None, "w", " ")["hits"] is None
