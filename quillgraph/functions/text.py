@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The methods of HTTP.
 HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "TRACE", "CONNECT"]
 # The spellings of a path parameter, applied in this order.
 PARAMETERS = [r"\{[^/{}]+\}", r":[A-Za-z_][A-Za-z0-9_]*", r"\[[^/\[\]]+\]", r"<[^/<>]+>"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -95,9 +96,15 @@ def hash_embedding(text: str | None, dim: int = DIM) -> list[float]:
 PROVIDERS: dict[str, Callable[[list[str]], list[list[float]]]] = {"hash": lambda texts: [hash_embedding(t) for t in texts]}
 
 
-def embed(chunks: DataFrame, text: str = "text", provider: str | Callable = "hash", dim: int = DIM, batch: int = BATCH, most_chars: int = 0) -> DataFrame:
-    """chunks with `embedding`: by batches; a batch that fails, or vectors of wrong length, give null. most_chars 0: whole texts."""
+def embed(chunks: DataFrame, text: str = "text", provider: str | Callable = "hash", dim: int = DIM, batch: int = BATCH, most_chars: int = 0, threads: int = 1, check: bool = False) -> DataFrame:
+    """chunks with `embedding`: by batches; a batch that fails, or vectors of wrong length, give null. most_chars 0: whole texts.
+
+    threads: calls that a task has under way at once, for providers that wait for a network. check: ask for one vector first
+    and raise ValueError if it has the wrong length, before anything is computed.
+    """
     call = PROVIDERS[provider] if isinstance(provider, str) else provider
+    if check and len(call(["dimension"])[0]) != dim:
+        raise ValueError(f"the provider's vectors don't have {dim} numbers")
 
     def one(texts: list[str]) -> list:
         try:
@@ -109,6 +116,10 @@ def embed(chunks: DataFrame, text: str = "text", provider: str | Callable = "has
     @F.pandas_udf("array<float>")
     def vectors(column: pd.Series) -> pd.Series:
         texts = column.fillna("").tolist()
-        return pd.Series([v for a in range(0, len(texts), batch) for v in one(texts[a : a + batch])], dtype=object)
+        slices = [texts[a : a + batch] for a in range(0, len(texts), batch)]
+        if threads <= 1:
+            return pd.Series([v for s in slices for v in one(s)], dtype=object)
+        with ThreadPoolExecutor(threads) as pool:
+            return pd.Series([v for found in pool.map(one, slices) for v in found], dtype=object)
 
     return chunks.withColumn("embedding", vectors(F.col(text)))

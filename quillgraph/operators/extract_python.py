@@ -8,10 +8,12 @@ import warnings
 
 from quillgraph.operators.facts import HTTP_VERBS, Facts, join_path, qualify, split_url
 
-_ROUTE_METHODS = frozenset("get post put patch delete head options".split())
+# Methods of route decorators, names of HTTP clients, calls of message clients.
+_ROUTE_METHODS = frozenset(["get", "post", "put", "patch", "delete", "head", "options"])
 _CLIENT_LIBRARIES = frozenset(["requests", "httpx"])
-_CLIENT_NAMES = frozenset("client session http async_client http_client".split())
-_PRODUCE, _CONSUME = frozenset("send send_and_wait produce".split()), frozenset("subscribe assign".split())
+_CLIENT_NAMES = frozenset(["client", "session", "http", "async_client", "http_client"])
+_PRODUCE = frozenset(["send", "send_and_wait", "produce"])
+_CONSUME = frozenset(["subscribe", "assign"])
 _CONSUMER_CLASSES = {"KafkaConsumer": "kafka-python", "AIOKafkaConsumer": "aiokafka"}
 DYNAMIC = "<dynamic>"
 

@@ -17,11 +17,13 @@ _TOKEN = re.compile(
 )
 _NO_CALL = frozenset("if for while switch catch function return typeof void delete await yield new super in of instanceof class constructor import with do else case throw async".split())
 _MODIFIERS = frozenset("export default declare abstract async public private protected static readonly override get set accessor".split())
-_EXPRESS = frozenset("get post put patch delete head options all".split())
-_NEST = frozenset("Get Post Put Patch Delete Head Options All".split())
-_CLIENTS = frozenset("axios http api client request instance".split())
-_PRODUCE, _CONSUME = frozenset(["send", "produce", "sendBatch"]), frozenset(["subscribe", "assign"])
-_VERBS = frozenset("GET POST PUT PATCH DELETE HEAD OPTIONS".split())
+# Methods of routers and route decorators, names of HTTP clients, calls of message clients, exported handlers.
+_EXPRESS = frozenset(["get", "post", "put", "patch", "delete", "head", "options", "all"])
+_NEST = frozenset(["Get", "Post", "Put", "Patch", "Delete", "Head", "Options", "All"])
+_CLIENTS = frozenset(["axios", "http", "api", "client", "request", "instance"])
+_PRODUCE = frozenset(["send", "produce", "sendBatch"])
+_CONSUME = frozenset(["subscribe", "assign"])
+_VERBS = frozenset(["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"])
 DYNAMIC = "<dynamic>"
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 

@@ -31,6 +31,22 @@ class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def exists(self, name: str) -> bool:
+        """Whether the table has ever been written, asked of the file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def drop_workspace(self, name: str, workspace: str) -> None:
+        """Deletes all rows of a workspace."""
+        self.clear(name, {"workspace_id": workspace})
+
+    def upsert(self, name: str, rows: DataFrame, key: list[str], by: tuple[str, ...] = ("workspace_id", "repo")) -> None:
+        """Writes rows by key: what has the key is replaced, all else stays. Chunks with their vectors come so."""
+        if self.exists(name):
+            self.merge(name, rows, rows.select(*dict.fromkeys([*by, *key])).distinct(), key, by)
+        else:
+            self.refresh(name, rows, by)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 

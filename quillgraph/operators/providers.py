@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from quillgraph.operators.chunking import DIM, PROVIDERS
 
-#: Parts of messages that say that a request was too large.
-TOO_LARGE = ("too large", "too long", "maximum context", "max_tokens", "token limit", "payload", "413", "context length")
+#: What messages say when a request was too large: it is, or an input's or the context's size is beyond a limit.
+TOO_LARGE = re.compile(r"(?i)\btoo (?:large|long|big|many tokens)\b|\b(?:http|status|code|error)\W{1,3}413\b|^413\b|\b(?:max\w*|limit\w*|exceed\w*)\b.{0,40}\b(?:tokens?|context|input|length|payload|size|sequence)\b|\b(?:tokens?|context|input|payload|sequence|text)\b.{0,40}\b(?:exceed\w*|limit|length|less than|shorter than|at most)\b")
 
 
 def normalised(v: list[float]) -> list[float]:
@@ -24,7 +25,7 @@ def guarded(call: Callable[[list[str]], list[list[float]]], dim: int = DIM, max_
         try:
             vectors = call(texts)
         except Exception as e:
-            if not any(m in str(e).lower() for m in TOO_LARGE):
+            if not TOO_LARGE.search(str(e)):
                 raise
             if len(texts) == 1:
                 return [[0.0] * dim]

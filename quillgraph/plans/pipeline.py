@@ -62,7 +62,7 @@ def fact_tables(files: DataFrame, provider: str | None = None) -> dict[str, Data
     symbols = resolve.last_of_each(kind("symbol").withColumnRenamed("symbol_kind", "kind"), ["workspace_id", "repo", "fqn"], ["file_path", "seq"])
     chunks = chunking.chunk_files(numbered.withColumnRenamed("file_path", "repo_relative_path"), numbered, symbols)
     if provider:
-        chunks = chunking.embed(chunks, provider=provider)
+        chunks = chunking.embed(chunks, provider=provider, check=True)
     with_id = lambda df, name, prefix, *more: df.withColumn(name, stable_id(prefix, *place, F.col("seq"), *[F.col(m) for m in more]))
     tables = {
         "file": files,

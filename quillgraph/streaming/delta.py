@@ -20,11 +20,10 @@ def upsert_stream(stream: DataFrame, store: Store, name: str, key: list[str], or
         if batch.isEmpty():
             return
         fresh = last_of_each(batch, key, order)
-        try:
-            stored = store.read(name)
-        except Exception:  # noqa: BLE001 - there is no table before the first batch
+        if not store.exists(name):  # before the first batch; what can't be read is an error
             store.refresh(name, fresh, by)
             return
+        stored = store.read(name)
         parts = fresh.select(*by).distinct()
         within = stored.join(parts, list(by), "left_semi")
         both = last_of_each(within.select(*fresh.columns).unionByName(fresh), key, order)

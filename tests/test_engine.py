@@ -130,7 +130,10 @@ def test_embedding(spark):
         return [[1.0, 2.0] for _ in texts]
 
     df = spark.createDataFrame([("ok",), ("bad",), (None,)], "text string").coalesce(1)
-    assert [x["embedding"] for x in chunking.embed(df, provider=fails, dim=2, batch=1).collect()] == [[1.0, 2.0], None, [1.0, 2.0]]
+    for threads in (1, 3):
+        assert [x["embedding"] for x in chunking.embed(df, provider=fails, dim=2, batch=1, threads=threads, check=True).collect()] == [[1.0, 2.0], None, [1.0, 2.0]]
+    with pytest.raises(ValueError):
+        chunking.embed(df, provider=fails, dim=3, check=True)
 
 
 def test_diff_and_store(spark, tmp_path):
@@ -283,3 +286,45 @@ def test_tools(spark, tmp_path):
     assert tools.workspace_manage(tables, symbols, "stats", "no") == {"workspace": None, "stats": {}}
     assert {x["workspace_id"] for x in tools.workspace_manage(tables, symbols, "list")["workspaces"].collect()} == {"v", "w"}
     assert tools.semantic_code_search(None, symbols, symbols, None, "w", " ")["hits"] is None
+
+
+def test_a_table_that_cannot_be_read_is_not_overwritten(spark, tmp_path):
+    from quillgraph.streaming.delta import upsert_stream
+
+    schema = "workspace_id string, repo string, path string, v int"
+    store = incremental.Store(spark, f"file://{tmp_path}/s")
+    (tmp_path / "s/t/workspace_id=w/repo=r").mkdir(parents=True)
+    (tmp_path / "s/t/workspace_id=w/repo=r/part-0.parquet").write_text("no parquet")
+    spark.createDataFrame([("w", "r", "a", 1)], schema).write.parquet(f"file://{tmp_path}/in")
+    with pytest.raises(Exception):  # noqa: B017
+        upsert_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), store, "t", ["workspace_id", "repo", "path"], ["v"], f"file://{tmp_path}/cp").awaitTermination()
+    assert (tmp_path / "s/t/workspace_id=w/repo=r/part-0.parquet").read_text() == "no parquet"
+
+
+def test_vector_store(spark, tmp_path):
+    store = incremental.Store(spark, f"file://{tmp_path}/s")
+    schema = "workspace_id string, repo string, chunk_id string, embedding array<float>"
+    store.upsert("chunk", spark.createDataFrame([("w", "r", "a", [1.0]), ("w", "r", "b", [2.0]), ("v", "r", "c", [3.0])], schema), ["chunk_id"])
+    store.upsert("chunk", spark.createDataFrame([("w", "r", "b", [4.0]), ("w", "q", "d", [5.0])], schema), ["chunk_id"])
+    assert {(x["chunk_id"], x["embedding"][0]) for x in store.read("chunk").collect()} == {("a", 1.0), ("b", 4.0), ("c", 3.0), ("d", 5.0)}
+    store.drop_workspace("chunk", "w")
+    assert {x["chunk_id"] for x in store.read("chunk").collect()} == {"c"}
+
+
+def test_staging_needs_a_shared_folder_on_clusters():
+    from quillgraph import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf(dict):
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert session.shared_folder(Session()) == "hdfs:///shared"

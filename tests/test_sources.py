@@ -71,12 +71,26 @@ def test_extract_table(spark):
     assert {x["file_id"] for x in facts_of(facts, "module").collect()} == {1, 4}
 
 
-@pytest.mark.parametrize("query", ["", "x" * 10_001, "DELETE FROM t", "INSERT INTO t SELECT 1", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/etc`", "SELECT * FROM t WHERE id IN (SELECT * FROM csv.`/x`)", "SELECT java_method('a', 'b')", "SET a = 1", "CACHE TABLE t", "EXPLAIN SELECT 1", "CREATE VIEW v AS SELECT 1", "SELEC"])
+DATA = "/root/testdata/sf0.001/region.parquet"
+BYPASSES = [f"SELECT count(*) FROM `org.apache.spark.sql.execution.datasources.parquet.ParquetFileFormat`.`{DATA}`", f"SELECT count(*) FROM `org.apache.spark.sql.execution.datasources.v2.parquet.ParquetDataSourceV2`.`{DATA}`", "SELECT * FROM image.`/root`", f"SELECT (SELECT count(*) FROM orc.`{DATA}`) AS n", f"WITH a AS (SELECT * FROM avro.`{DATA}`) SELECT * FROM a", "SELECT * FROM missing", "SELECT * FROM default.t", "SELECT input_file_name()", "SELECT reflect('a', 'b')", "SELECT * FROM read_files('/x')", "SELECT try_reflect('a', 'b')", "SELECT current_user()", "SELECT transform(array(1), x -> java_method('a', 'b'))", "SELECT * FROM range(3) WHERE EXISTS (SELECT raise_error('x'))", "SELECT spark_catalog.default.f(1)"]
+
+
+@pytest.mark.parametrize("query", ["", "x" * 10_001, "DELETE FROM t", "INSERT INTO t SELECT 1", "SELECT 1; SELECT 2", "SELECT * FROM parquet.`/etc`", "SELECT * FROM t WHERE id IN (SELECT * FROM csv.`/x`)", "SELECT java_method('a', 'b')", "SET a = 1", "CACHE TABLE t", "EXPLAIN SELECT 1", "CREATE VIEW v AS SELECT 1", "SELEC", *BYPASSES])
 def test_gate_refuses(spark, query):
     with pytest.raises(adhoc.Refused):
         adhoc.check(spark, query)
 
 
+ALLOWED = ["SELECT id FROM t UNION ALL SELECT 1", "WITH a AS (SELECT id FROM t), b AS (SELECT * FROM a) SELECT count(*), max(id) FROM b JOIN t USING (id)", "SELECT id, row_number() OVER (ORDER BY id) FROM t ORDER BY 1 LIMIT 2", "SELECT * FROM t WHERE id IN (SELECT id FROM t WHERE id % 2 = 0) AND EXISTS (SELECT 1 FROM t)", "SELECT explode(array(1, 2)) AS x", "SELECT * FROM range(3)", "SELECT CASE WHEN id > 1 THEN upper('a') ELSE CAST(id AS STRING) END AS c FROM T LATERAL VIEW explode(array(1)) v AS y", "SELECT 'java_method(x)' AS s, 1 + 2 AS n -- reflect('a')", "VALUES (1, 2)", "SELECT filter(array(1, 2), x -> x > 1) AS f", "SELECT (SELECT max(id) FROM t) AS m"]
+
+
+@pytest.mark.parametrize("query", ALLOWED)
+def test_gate_lets_reads_through(spark, query):
+    spark.range(10).createOrReplaceTempView("t")
+    adhoc.check(spark, query)
+    spark.sql(query).collect()
+
+
 def test_gate_runs(spark):
     spark.range(10).createOrReplaceTempView("t")
     assert adhoc.execute(spark, "SELECT id FROM t WHERE id >= :low ORDER BY id", {"low": 8}) == {"columns": ["id"], "rows": [{"id": 8}, {"id": 9}], "truncated": False}
@@ -88,7 +102,8 @@ def test_gate_runs(spark):
     for check, value in ((adhoc.safe_identifier, "a b"), (adhoc.safe_workspace, "W"), (adhoc.safe_search_text, "a\n")):
         with pytest.raises(adhoc.Refused):
             check(value)
-    assert adhoc.plain({"a": [b"\x01", 2]}) == {"a": ["01", 2]}
+    row = adhoc.execute(spark, "SELECT decode(unhex('41'), 'UTF-8') AS t, unhex('01FF') AS b, array(1, NULL) AS a, named_struct('x', DATE'2025-01-02') AS s, CAST(NULL AS INT) AS n, 1.50BD AS d")["rows"][0]
+    assert row == {"t": "A", "b": "01FF", "a": [1, None], "s": {"x": "2025-01-02"}, "n": None, "d": 1.5}
 
 
 def test_checkout(tmp_path):
@@ -141,6 +156,10 @@ def test_providers():
     assert asked == [4, 2, 2, 1]
     with pytest.raises(ValueError):
         providers.guarded(lambda t: [[1.0]], dim=2)(["a"])
+    for said in ("HTTP 413", "input size exceeds the limit", "The input sequence should have less than 131072 characters.", "total text input length is 9", "maximum context length is 8192 tokens", "Request Entity Too Large", "payload too large"):
+        assert providers.TOO_LARGE.search(said), said
+    for said in ("connection reset", "port 4130 refused", "order 413 not found", "invalid payload", "unauthorized"):
+        assert not providers.TOO_LARGE.search(said), said
     with pytest.raises(KeyError):
         providers.get("no", None)
     assert providers.get("no") is providers.get("hash")
