@@ -486,34 +486,113 @@ def workspace_list(spark, d):
 
 
 def _labels(spark, d):
-    named = {"file": "file_record", "symbol": "symbol_def", "chunk": "chunk"}
-    return {label: (t(spark, d, named[label]), key) for label, key in catalog.NODES.items()}
-
-
-@query("label_counts", "SELECT 'file' AS label, count(*) AS n FROM (SELECT DISTINCT workspace_id, repo, repo_relative_path FROM file_record) UNION ALL SELECT 'symbol', count(*) FROM (SELECT DISTINCT workspace_id, repo, fqn FROM symbol_def) UNION ALL SELECT 'chunk', count(*) FROM (SELECT DISTINCT chunk_id FROM chunk)")
+    """label -> (rows, key) of what a data folder holds."""
+    files, flows_ = t(spark, d, "file_record"), t(spark, d, "http_flow_edge")
+    producers, consumers = _messages(spark, d)
+    topics = producers.select("workspace_id", "topic_name").union(consumers.select("workspace_id", "topic_name")).distinct()
+    return {
+        "repository": (files.select("workspace_id", "repo").distinct(), ["workspace_id", "repo"]),
+        "commit": (files.where("commit_sha IS NOT NULL").select("workspace_id", "repo", "commit_sha").distinct(), ["workspace_id", "repo", "commit_sha"]),
+        "file": (files, catalog.NODES["file"]),
+        "symbol": (t(spark, d, "symbol_def"), catalog.NODES["symbol"]),
+        "chunk": (t(spark, d, "chunk"), catalog.NODES["chunk"]),
+        "route": (flows_.select("workspace_id", "route_repo", "method", "path_template"), ["workspace_id", "route_repo", "method", "path_template"]),
+        "http_client_call": (flows_.select("workspace_id", "client_repo", "client_caller_fqn", "method", "path_template"), ["workspace_id", "client_repo", "client_caller_fqn", "method", "path_template"]),
+        "topic": (topics, ["workspace_id", "topic_name"]),
+    }
+
+
+_LABELS = f"""WITH {_MESSAGES}, lb AS (
+  SELECT DISTINCT 'repository' AS label, workspace_id, concat_ws(chr(31), repo) AS k FROM file_record
+  UNION ALL SELECT DISTINCT 'commit', workspace_id, concat_ws(chr(31), repo, commit_sha) FROM file_record WHERE commit_sha IS NOT NULL
+  UNION ALL SELECT DISTINCT 'file', workspace_id, concat_ws(chr(31), repo, repo_relative_path) FROM file_record
+  UNION ALL SELECT DISTINCT 'symbol', workspace_id, concat_ws(chr(31), repo, fqn) FROM symbol_def
+  UNION ALL SELECT DISTINCT 'chunk', workspace_id, chunk_id FROM chunk
+  UNION ALL SELECT 'route', workspace_id, concat_ws(chr(31), coalesce(route_repo, '?'), coalesce(method, '?'), coalesce(path_template, '?')) FROM (SELECT DISTINCT workspace_id, route_repo, method, path_template FROM http_flow_edge)
+  UNION ALL SELECT 'http_client_call', workspace_id, concat_ws(chr(31), coalesce(client_repo, '?'), coalesce(client_caller_fqn, '?'), coalesce(method, '?'), coalesce(path_template, '?')) FROM (SELECT DISTINCT workspace_id, client_repo, client_caller_fqn, method, path_template FROM http_flow_edge)
+  UNION ALL SELECT DISTINCT 'topic', workspace_id, topic_name FROM (SELECT workspace_id, topic_name FROM mp UNION SELECT workspace_id, topic_name FROM mc))"""
+
+
+@query("label_counts", f"{_LABELS} SELECT label, count(*) AS n FROM lb GROUP BY 1")
 def label_counts(spark, d):
     return catalog.counts(_labels(spark, d))
 
 
-@query("workspace_stats", "SELECT label, workspace_id, count(*) AS n FROM (SELECT DISTINCT 'file' AS label, workspace_id, repo, repo_relative_path AS k FROM file_record UNION SELECT DISTINCT 'symbol', workspace_id, repo, fqn FROM symbol_def UNION SELECT DISTINCT 'chunk', workspace_id, '', chunk_id FROM chunk) GROUP BY ALL")
+@query("workspace_stats", f"{_LABELS} SELECT label, workspace_id, count(*) AS n FROM lb GROUP BY 1, 2")
 def workspace_stats(spark, d):
-    per = [df.select("workspace_id", *key).distinct().groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "workspace_id", "n") for label, (df, key) in ((label, (df, [k for k in key if k != "workspace_id"])) for label, (df, key) in _labels(spark, d).items())]
-    return catalog.union(per)
+    return catalog.counts_by_workspace(_labels(spark, d))
 
 
-@query("duplicate_keys", "SELECT 'file' AS label, count(*) AS duplicates FROM (SELECT 1 FROM file_record GROUP BY workspace_id, repo, repo_relative_path HAVING count(*) > 1) UNION ALL SELECT 'symbol', count(*) FROM (SELECT 1 FROM symbol_def GROUP BY workspace_id, repo, fqn HAVING count(*) > 1) UNION ALL SELECT 'chunk', count(*) FROM (SELECT 1 FROM chunk GROUP BY chunk_id HAVING count(*) > 1)")
+@query(
+    "duplicate_keys",
+    """SELECT 'file' AS label, count(*) AS duplicates FROM (SELECT 1 FROM file_record GROUP BY workspace_id, repo, repo_relative_path HAVING count(*) > 1) UNION ALL SELECT 'symbol', count(*) FROM (SELECT 1 FROM symbol_def GROUP BY workspace_id, repo, fqn HAVING count(*) > 1) UNION ALL SELECT 'chunk', count(*) FROM (SELECT 1 FROM chunk GROUP BY chunk_id HAVING count(*) > 1)
+UNION ALL SELECT 'route', count(*) FROM (SELECT 1 FROM http_flow_edge GROUP BY workspace_id, route_repo, method, path_template HAVING count(*) > 1) UNION ALL SELECT 'http_client_call', count(*) FROM (SELECT 1 FROM http_flow_edge GROUP BY workspace_id, client_repo, client_caller_fqn, method, path_template HAVING count(*) > 1)
+UNION ALL SELECT unnest(['repository', 'commit', 'topic']), 0""",
+)
 def duplicate_keys(spark, d):
     return catalog.duplicate_keys(_labels(spark, d))
 
 
-@query("property_catalog")
-def property_catalog(spark, d):
-    return catalog.property_catalog({label: df for label, (df, _) in _labels(spark, d).items()})
+_KINDS = "CASE column_type WHEN 'VARCHAR' THEN 'String' WHEN 'BIGINT' THEN 'Long' WHEN 'INTEGER' THEN 'Long' WHEN 'DOUBLE' THEN 'Double' WHEN 'TIMESTAMP' THEN 'DateTime' WHEN 'FLOAT[]' THEN 'DoubleArray' ELSE column_type END"
+_HELD = " UNION ALL ".join(f"SELECT '{label}' AS label, property, {_KINDS} AS types, n = (SELECT count(*) FROM {name}) AND n > 0 AS mandatory FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {name}) ON * INTO NAME property VALUE n) JOIN (SELECT column_name AS property, column_type FROM (DESCRIBE {name})) USING (property)" for label, name in (("file", "file_record"), ("symbol", "symbol_def"), ("chunk", "chunk")))
 
 
-@query("endpoint_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in catalog.EDGES) + ") v(rel, start, \"end\")")
+@query("property_catalog", _HELD)
+def property_catalog(spark, d):
+    found = catalog.property_catalog({label: t(spark, d, name) for label, name in (("file", "file_record"), ("symbol", "symbol_def"), ("chunk", "chunk"))})
+    return found.withColumn("types", F.array_join("types", ","))
+
+
+def _edge_tables(spark, d):
+    """The edges that a data folder's tables hold, each once."""
+    files, symbols, http = t(spark, d, "file_record"), t(spark, d, "symbol_def"), t(spark, d, "http_flow_edge")
+    node = symbols.select("workspace_id", "repo", "fqn").dropna().distinct()
+    anywhere = node.select("workspace_id", F.col("fqn").alias("resolved_fqn")).distinct()
+    ends = lambda df, repo, fqn: df.join(node.select("workspace_id", F.col("repo").alias(repo), F.col("fqn").alias(fqn)), ["workspace_id", repo, fqn], "left_semi").distinct()
+    producers, consumers = _messages(spark, d)
+    return [
+        ("CONTAINS", "workspace", "repository", files.select("workspace_id", "repo").dropna().distinct()),
+        ("CONTAINS", "repository", "file", files.select("workspace_id", "repo", "repo_relative_path").dropna().distinct()),
+        ("HAS_COMMIT", "repository", "commit", files.select("workspace_id", "repo", "commit_sha").dropna().distinct()),
+        ("DEFINES", "file", "symbol", symbols.select("workspace_id", "repo", "file_path", "fqn").dropna().distinct()),
+        ("ENCLOSES", "symbol", "symbol", ends(symbols.select("workspace_id", "repo", "parent_fqn", "fqn").dropna(), "repo", "parent_fqn")),
+        ("HAS_CHUNK", "file", "chunk", t(spark, d, "chunk").select("workspace_id", "repo", "file_path", "chunk_id").dropna().distinct()),
+        ("IMPORTS", "file", "symbol", t(spark, d, "import_ref").select("workspace_id", "repo", "file_path", "resolved_fqn").dropna().join(anywhere, ["workspace_id", "resolved_fqn"], "left_semi").distinct()),
+        ("HANDLES", "symbol", "route", ends(http.select("workspace_id", "route_repo", "route_handler_fqn", "method", "path_template").dropna(), "route_repo", "route_handler_fqn")),
+        ("INVOKES", "symbol", "http_client_call", ends(http.select("workspace_id", "client_repo", "client_caller_fqn", "method", "path_template").dropna(), "client_repo", "client_caller_fqn")),
+        ("HTTP_FLOW", "http_client_call", "route", http.select("workspace_id", "client_repo", "client_caller_fqn", "route_repo", "method", "path_template").dropna().distinct()),
+        ("PRODUCES", "symbol", "producer", producers.select("workspace_id", "producer_id").distinct()),
+        ("CONSUMES", "symbol", "consumer", consumers.select("workspace_id", "consumer_id").distinct()),
+        ("WRITES_TO", "producer", "topic", producers.select("workspace_id", "producer_id", "topic_name").distinct()),
+        ("READS_FROM", "consumer", "topic", consumers.select("workspace_id", "consumer_id", "topic_name").distinct()),
+        ("CALLS", "symbol", "symbol", _edges(spark, d).select("workspace_id", "edge_id")),
+    ]
+
+
+_ENDS = f"""WITH {_EDGES}, {_MESSAGES}, hf AS (SELECT * FROM http_flow_edge WHERE workspace_id IS NOT NULL AND method IS NOT NULL AND path_template IS NOT NULL),
+ec AS (SELECT 'CONTAINS' AS rel, 'workspace' AS start, 'repository' AS "end", count(*) AS n FROM (SELECT DISTINCT workspace_id, repo FROM file_record WHERE workspace_id IS NOT NULL AND repo IS NOT NULL)
+  UNION ALL SELECT 'CONTAINS', 'repository', 'file', count(*) FROM (SELECT DISTINCT workspace_id, repo, repo_relative_path FROM file_record WHERE workspace_id IS NOT NULL AND repo IS NOT NULL AND repo_relative_path IS NOT NULL)
+  UNION ALL SELECT 'HAS_COMMIT', 'repository', 'commit', count(*) FROM (SELECT DISTINCT workspace_id, repo, commit_sha FROM file_record WHERE workspace_id IS NOT NULL AND repo IS NOT NULL AND commit_sha IS NOT NULL)
+  UNION ALL SELECT 'DEFINES', 'file', 'symbol', count(*) FROM (SELECT DISTINCT workspace_id, repo, file_path, fqn FROM symbol_def WHERE workspace_id IS NOT NULL AND repo IS NOT NULL AND file_path IS NOT NULL AND fqn IS NOT NULL)
+  UNION ALL SELECT 'ENCLOSES', 'symbol', 'symbol', count(*) FROM (SELECT DISTINCT workspace_id, repo, parent_fqn, fqn FROM symbol_def WHERE fqn IS NOT NULL AND (workspace_id, repo, parent_fqn) IN (SELECT (workspace_id, repo, fqn) FROM s))
+  UNION ALL SELECT 'HAS_CHUNK', 'file', 'chunk', count(*) FROM (SELECT DISTINCT workspace_id, repo, file_path, chunk_id FROM chunk WHERE workspace_id IS NOT NULL AND repo IS NOT NULL AND file_path IS NOT NULL AND chunk_id IS NOT NULL)
+  UNION ALL SELECT 'IMPORTS', 'file', 'symbol', count(*) FROM (SELECT DISTINCT workspace_id, repo, file_path, resolved_fqn FROM import_ref WHERE repo IS NOT NULL AND file_path IS NOT NULL AND (workspace_id, resolved_fqn) IN (SELECT (workspace_id, fqn) FROM s))
+  UNION ALL SELECT 'HANDLES', 'symbol', 'route', count(*) FROM (SELECT DISTINCT workspace_id, route_repo, route_handler_fqn, method, path_template FROM hf WHERE (workspace_id, route_repo, route_handler_fqn) IN (SELECT (workspace_id, repo, fqn) FROM s))
+  UNION ALL SELECT 'INVOKES', 'symbol', 'http_client_call', count(*) FROM (SELECT DISTINCT workspace_id, client_repo, client_caller_fqn, method, path_template FROM hf WHERE (workspace_id, client_repo, client_caller_fqn) IN (SELECT (workspace_id, repo, fqn) FROM s))
+  UNION ALL SELECT 'HTTP_FLOW', 'http_client_call', 'route', count(*) FROM (SELECT DISTINCT workspace_id, client_repo, client_caller_fqn, route_repo, method, path_template FROM hf WHERE client_repo IS NOT NULL AND client_caller_fqn IS NOT NULL AND route_repo IS NOT NULL)
+  UNION ALL SELECT 'PRODUCES', 'symbol', 'producer', count(DISTINCT symbol_id) FROM mp UNION ALL SELECT 'CONSUMES', 'symbol', 'consumer', count(DISTINCT symbol_id) FROM mc
+  UNION ALL SELECT 'WRITES_TO', 'producer', 'topic', count(DISTINCT symbol_id) FROM mp UNION ALL SELECT 'READS_FROM', 'consumer', 'topic', count(DISTINCT symbol_id) FROM mc
+  UNION ALL SELECT 'CALLS', 'symbol', 'symbol', count(*) FROM edges)"""
+
+
+@query("endpoint_catalog", f"{_ENDS} SELECT * FROM ec WHERE n > 0")
 def endpoint_catalog(spark, d):
-    return catalog.endpoint_catalog(catalog.EDGES, spark)
+    return catalog.edge_catalog(_edge_tables(spark, d))
+
+
+@query("edge_types", f"""{_ENDS} SELECT rel, coalesce(string_agg(start || '>' || "end", ',' ORDER BY start || '>' || "end"), '') AS ends, CASE WHEN sum(n) > 0 THEN sum(n)::BIGINT END AS n FROM (SELECT * FROM ec WHERE n > 0 UNION ALL SELECT unnest(['DEFINES_MODULE', 'KAFKA_FLOW']), NULL, NULL, 0) GROUP BY 1""")
+def edge_types(spark, d):
+    return catalog.edge_types(catalog.edge_catalog(_edge_tables(spark, d)))
 
 
 @query("files_by_language", "SELECT repo, lang, count(*) AS files FROM (SELECT DISTINCT workspace_id, repo, lang, file_id FROM file_record) GROUP BY ALL")

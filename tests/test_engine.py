@@ -179,6 +179,20 @@ def test_count_cache():
     assert catalog.CountCache(0).get("w", "a", "b", True, lambda: 1) == (1, False)
 
 
+def test_graph_schema(spark):
+    nodes = {"symbol": (spark.createDataFrame([("w", "r", "a"), ("w", "r", None), ("v", "r", "a")], "workspace_id string, repo string, fqn string"), ["workspace_id", "repo", "fqn"]), "chunk": (spark.createDataFrame([("c",)], "chunk_id string"), ["chunk_id"])}
+    edges = [("CALLS", "symbol", "symbol", nodes["symbol"][0]), ("OTHER", "symbol", "chunk", nodes["symbol"][0]), ("CALLS", "module", "symbol", nodes["symbol"][0].limit(0))]
+    got = catalog.graph_schema(nodes, edges, "w")
+    assert {(x["label"], x["n"]) for x in got["node_counts"].collect()} == {("symbol", 2), ("chunk", 1)} and got["counts_scope"] == "workspace"
+    assert {(x["label"], x["property"], x["mandatory"]) for x in got["node_properties"].collect()} == {("symbol", "workspace_id", True), ("symbol", "repo", True), ("symbol", "fqn", False), ("chunk", "chunk_id", True)}
+    assert {tuple(x) for x in got["edge_ends"].collect()} == {("CALLS", "symbol", "symbol", 2), ("OTHER", "symbol", "chunk", 2)}
+    types = {x["rel"]: (x["ends"], x["n"]) for x in got["edge_types"].collect()}
+    assert set(types) == {*catalog.EDGES, "OTHER"} and types["CALLS"] == ("symbol>symbol", 2) and types["IMPORTS"] == ("", None)
+    assert got["constraints"].count() == 12 and got["indexes"].where("kind = 'lexical'").first()["properties"] == ["name", "signature", "docstring"]
+    off = catalog.graph_schema(nodes, edges, None, False)
+    assert off["counts_scope"] == "disabled" and off["node_counts"] is None and "n" not in off["edge_types"].columns
+
+
 def test_property_fold(spark):
     rows = spark.createDataFrame([("A", "x", ["Long"], True), ("A", "x", ["String", "Long"], False), ("B", "y", ["Long"], True)], "label string, property string, types array<string>, mandatory boolean")
     assert {(x[0], x[1], tuple(x[2]), x[3]) for x in catalog.fold_properties(rows).collect()} == {("A", "x", ("Long", "String"), False), ("B", "y", ("Long",), True)}
