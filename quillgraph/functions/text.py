@@ -71,6 +71,12 @@ def last_part(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def prefixes(name: Column) -> Column:
+    """The name's leading parts: a.b.c has a, a.b and a.b.c."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """How many leading parts two arrays share."""
     n = F.least(F.size(a), F.size(b))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import common_prefix, last_part, module_of
+from quillgraph.functions.text import last_part, module_of, prefixes
 
 # Strategies and their confidences, in order.
 CONFIDENCE = {"same-module": 0.95, "import-suffix": 0.90, "unique-global": 0.85, "suffix-distance": 0.75, "syntactic-fallback": 0.55}
@@ -57,12 +57,13 @@ def resolve(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFra
     named = index.groupBy("workspace_id", F.col("name").alias("simple")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("repo", "fqn")).alias("only"))
     counted = chain.select("call_id", "workspace_id", "caller_fqn", "simple", "call_text").join(named, ["workspace_id", "simple"])
     unique = counted.where("n = 1").select("call_id", F.struct(F.lit(3).alias("rank"), F.lit(False).alias("away"), F.col("only.repo").alias("repo"), F.col("only.fqn").alias("fqn"), F.lit("unique-global").alias("strategy")).alias("hit"))
-    # a common prefix needs the same first part, so that is part of the key; equal callers are compared once
-    near = counted.where("n > 1").select("workspace_id", "caller_fqn", "simple").distinct().withColumn("first", F.substring_index("caller_fqn", ".", 1))
-    pool = index.select("workspace_id", F.col("name").alias("simple"), "repo", "fqn", F.substring_index("fqn", ".", 1).alias("first"))
-    parts = F.split("fqn", r"\.")
-    scored = near.join(pool, ["workspace_id", "simple", "first"]).withColumn("shared", common_prefix(parts, F.split("caller_fqn", r"\.")))
-    best = scored.groupBy("workspace_id", "caller_fqn", "simple").agg(F.min(F.struct((-F.col("shared")).alias("a"), F.size(parts).alias("b"), "repo", "fqn")).alias("best"))
+    # the best symbol of every prefix of a name is kept, and a caller takes that of its longest prefix that has one: no
+    # caller meets all symbols of a hot name. Equal callers are compared once
+    near = counted.where("n > 1").select("workspace_id", "caller_fqn", "simple").distinct()
+    pool = index.select("workspace_id", F.col("name").alias("simple"), F.struct(F.size(F.split("fqn", r"\.")).alias("b"), "repo", "fqn").alias("own"), F.explode(prefixes(F.col("fqn"))).alias("prefix"))
+    pool = pool.groupBy("workspace_id", "simple", "prefix").agg(F.min("own").alias("best"))
+    met = near.withColumn("prefix", F.explode(prefixes(F.col("caller_fqn")))).join(pool, ["workspace_id", "simple", "prefix"])
+    best = met.groupBy("workspace_id", "caller_fqn", "simple").agg(F.max_by("best", F.length("prefix")).alias("best"))
     distance = counted.where("n > 1").join(best, ["workspace_id", "caller_fqn", "simple"]).select("call_id", F.struct(F.lit(4).alias("rank"), F.lit(False).alias("away"), F.col("best.repo").alias("repo"), F.col("best.fqn").alias("fqn"), F.lit("suffix-distance").alias("strategy")).alias("hit"))
     # a symbol is found by each of its dotted suffixes that end in its simple name
     names = F.split("fqn", r"\.")

@@ -342,3 +342,24 @@ def test_staging_needs_a_shared_folder_on_clusters():
         session.shared_folder(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs:///shared/"
     assert session.shared_folder(Session()) == "hdfs:///shared"
+
+
+def test_http_flows_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    path = lambda: "/" + "/".join(rng.choice(["a", "b", "{}"]) for _ in range(rng.choice([0, 1, 2, 3, 4, 4, 7])))
+    clients = [(i, "w", rng.choice(["GET", "POST", "*"]), path()) for i in range(120)]
+    routes = [(i, rng.choice(["w", "w", "v"]), rng.choice(["GET", "POST", "*"]), path()) for i in range(120)]
+    want = set()
+    for i, w, m, p in clients:
+        scores = {}
+        for j, v, n, q in routes:
+            a, b = ([x for x in y.split("/") if x] for y in (p, q))
+            if w == v and (m == n or "*" in (m, n)) and len(a) == len(b):
+                score = 1.0 if p == q or not a else sum(x == y or "{}" in (x, y) for x, y in zip(a, b, strict=True)) / len(a)
+                if score >= 0.7:
+                    scores[j] = score
+        want |= {(i, j) for j, s in scores.items() if s == max(scores.values())}
+    make = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, workspace_id string, method string, path string")
+    assert {(x["call_id"], x["route_id"]) for x in flows.http_flows(make(clients, "call_id"), make(routes, "route_id")).collect()} == want
