@@ -155,15 +155,25 @@ def _tagged(comment: str) -> set[str]:
     return set(re.findall(r"(?:@param|@arg|@argument)\s+(?:\{[^}]*\}\s*)?\[?([\w$]+)", comment)) | set(re.findall(r":param\s+(?:[\w\[\], ]+\s)?([\w$]+)\s*:", comment))
 
 
-def link(comment: tuple[int, int, str, bool], top: int, body: int, name: str, signature: str, lines: list[str]) -> float:
-    """How well a comment fits a definition whose first line (decorators included) is top; 0: not at all."""
+def _directive(text: str) -> bool:
+    """Whether a comment speaks to tools alone."""
+    return all(_DIRECTIVE.match(x) for x in text.split("\n") if x.strip())
+
+
+def link(comment: tuple[int, int, str, bool], top: int, body: int, name: str, signature: str, lines: list[str], others: dict[int, bool] | None = None) -> float:
+    """How well a comment fits a definition whose first line (decorators included) is top; 0: not at all.
+
+    others: lines of the file's comments, and whether they are directives. Comments that stand between count as distance,
+    blank lines more so; directives don't count, and are no documentation themselves.
+    """
     first, last, text, string = comment
     if string:
         return 3.0 if first == body else 0.0
-    gap = top - last - 1
-    if gap < 0 or gap > MOST_GAP or any(x.strip() for x in lines[last : top - 1]):
+    between, others = range(last + 1, top), others or {}
+    blank = sum(not lines[n - 1].strip() for n in between)
+    if last >= top or blank > MOST_GAP or any(lines[n - 1].strip() and n not in others for n in between) or _directive(text):
         return 0.0
-    score = 1.0 / (1 + gap)
+    score = 1.0 / (1 + blank + 0.25 * sum(n in others and not others[n] for n in between))
     if tags := _tagged(text):
         fitting = len(tags & set(re.findall(r"[\w$]+", signature))) / len(tags)
         score += fitting if fitting else -1.0
@@ -232,9 +242,12 @@ def from_source(text: str | None, python: bool, definitions: list[tuple[int, str
     lines, found = text.split("\n"), comments(text, python)
     by_end: dict[int, list[int]] = {}
     by_start = {}
+    of_comments: dict[int, bool] = {}
     for k, c in enumerate(found):
         by_end.setdefault(c[1], []).append(k)
         by_start[c[0]] = k
+        if not c[3]:
+            of_comments |= dict.fromkeys(range(c[0], c[1] + 1), _directive(c[2]))
     scores: dict[tuple[int, int], float] = {}
     for d, (start, name, signature) in enumerate(definitions):
         if not 1 <= start <= len(lines):
@@ -243,9 +256,13 @@ def from_source(text: str | None, python: bool, definitions: list[tuple[int, str
         while top > 1 and lines[top - 2].lstrip().startswith("@"):
             top -= 1
         body = _body_line(lines, start) if python else 0
-        near = [k for end in range(max(0, top - 1 - MOST_GAP), top) for k in by_end.get(end, ())] + ([by_start[body]] if body in by_start else [])
+        near, end, blank = [by_start[body]] if body in by_start else [], top - 1, 0
+        while end >= 1 and blank <= MOST_GAP and (not lines[end - 1].strip() or end in of_comments):
+            near += by_end.get(end, ())
+            blank += not lines[end - 1].strip()
+            end -= 1
         for k in near:
-            if found[k][2].strip() and (s := link(found[k], top, body, name, signature, lines)) >= LEAST_LINK:
+            if found[k][2].strip() and (s := link(found[k], top, body, name, signature, lines, of_comments)) >= LEAST_LINK:
                 scores[d, k] = s
     return {d: found[c][2] for d, c in assign(scores).items()}
 

@@ -82,3 +82,24 @@ def test_table(spark):
     pair = {x["symbol_id"]: x["code"] for x in cd.pairs(symbols, texts).collect()}
     assert pair[1] == "def a(x):\n    pass" and set(pair) == set(got)
     assert cd.documented(symbols.limit(0), texts).count() == 0
+
+
+def test_comments_compete_for_definitions():
+    code = "\n".join([
+        "/** Adds the given amount to a running balance. @param amount what to add */",
+        "// Reads each entry from the ledger and keeps its balance",
+        "// eslint-disable-next-line no-unused-vars",
+        "function add(amount) {}",
+        "",
+        "// ---- helpers of the journal, written long ago ----",
+        "// Closes whatever the caller left open before",
+        "function shut(name) {}",
+    ])
+    got = cd.from_source(code, False, [(4, "add", "function add(amount)"), (8, "shut", "function shut(name)")])
+    # two comments stand above the first, and its parameter's tag decides; a directive is no documentation
+    assert got[0].startswith("Adds the given amount") and "Closes whatever" in got[1]
+
+
+def test_a_directive_alone_documents_nothing():
+    assert cd.from_source("// eslint-disable-next-line\nfunction f() {}", False, [(2, "f", "function f()")]) == {}
+    assert cd.from_source("/* Says what it does. */\n// eslint-disable-next-line\nfunction f() {}", False, [(3, "f", "function f()")]) == {0: "Says what it does."}
