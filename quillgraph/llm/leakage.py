@@ -295,6 +295,17 @@ def _rare_words(texts: list[list[str]]) -> set[str]:
     return {w for w, n in count.items() if n <= max(1, len(texts) / 8)}
 
 
+def _masks(arrays: list[np.ndarray], text: np.ndarray, at: np.ndarray, wide: int) -> np.ndarray:
+    """A bit of 64 for every word of each window (its text's index and start)."""
+    none = np.zeros(wide, dtype=np.uint64)
+    flat = np.concatenate([y for x in arrays for y in (np.uint64(1) << (x & 63).astype(np.uint64), none)])
+    begin = np.cumsum([0, *(len(x) + wide for x in arrays)])[text] + at
+    out = flat[begin]
+    for k in range(1, wide):
+        out |= flat[begin + k]
+    return out
+
+
 def _close(some: list[tuple[int, int, np.ndarray]], text: np.ndarray, at: np.ndarray, wide: int, items: list[np.ndarray], item: np.ndarray, start: np.ndarray, lengths: np.ndarray, least: float) -> np.ndarray:
     """Whether at least this part of an item window's words is among a text window's: a bound of their common subsequence."""
     narrow = int(lengths.max()) if len(lengths) else 0
@@ -342,6 +353,7 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
         grams = [{f" {' '.join(t[i : i + N])} " for i in range(max(1, len(t) - N + 1))} for t in texts]
         bins = Bins()
         own = [np.array([bins[w] for w in t], dtype=np.int32) for t in texts]
+        masks = {m: _masks(own, of, start, m) for m, _, of, start, _ in by_group}
         asked: dict[tuple[int, int], tuple[list[str], list[str], set[str]]] = {}
         for b in batches:
             out = []
@@ -354,6 +366,10 @@ def leaks(documents: DataFrame, items: DataFrame, rank: int = RANK, least_cosine
                     wide = m + STRIDE - 1
                     places, text_of, at = sums.windows(wide, STRIDE)
                     w, q, score = lists.close(places, least_cosine)
+                    # a bit that the text's window lacks is a word that it lacks: most candidates go by this alone
+                    lacks = np.bitwise_count(masks[m][q] & ~_masks([x for _, _, x in some], text_of, at, wide)[w])
+                    few = lacks <= (1 - least_common) * lengths[q] + 1e-9
+                    w, q, score = w[few], q[few], score[few]
                     near = _close(some, text_of[w], at[w], wide, own, of[q], start[q], lengths[q], least_common)
                     w, q, score = w[near], q[near], score[near]
                     # a pair's candidates by falling cosine: the first that passes is its best
