@@ -186,9 +186,12 @@ def marks(text: str | None) -> list[tuple[str, str, str, str, bool]]:
         lines = [x for x in bare.split("\n") if x.strip()]
         if any(h in low for h in _FILLER_HINTS) and (line := next((x for x in lines if _FILLER.search(x)), None)):
             out.append(("filler", "mark", line, bare, False))
-        elif _repeats(bare) or _numbered(lines) or any(_prose(x) and _mashed([w.lower() for w in _WORD.findall(x)]) for x in lines):
+            continue
+        # equal sentences have a third as many different parts at most
+        prose = [_WORD.findall(x.lower()) for x in lines if _prose(x)]
+        if len(sentences) >= 3 and 3 * len(set(sentences)) <= len(sentences) and _repeats(bare) or _numbered(lines) or any(_mashed(w) for w in prose):
             out.append(("filler", "mark", bare[:LONGEST], bare, False))
-        elif any(_prose(x) and _meaningless([w.lower() for w in _WORD.findall(x)]) for x in lines):
+        elif any(_meaningless(w) for w in prose):
             # sentences tell more than a mere row of words
             out.append(("filler" if re.search(r"[.!?]\s*$", bare) else "row", "mark", bare[:LONGEST], bare, False))
     return out
