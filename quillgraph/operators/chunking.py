@@ -70,8 +70,9 @@ def chunk_files(files: DataFrame, texts: DataFrame, symbols: DataFrame, max_line
         for b in batches:
             rows = []
             for x in b.itertuples():
-                lines = x.text.splitlines()
-                own = [(s["start_line"], s["end_line"]) for s in x.symbols] if x.symbols is not None else []
+                # the lines that the extractors count: a form feed or another separator doesn't end one
+                lines = x.text.replace("\r\n", "\n").replace("\r", "\n").removesuffix("\n").split("\n")
+                own = [(max(1, s["start_line"]), s["end_line"]) for s in x.symbols] if x.symbols is not None else []
                 rows += [(x.workspace_id, x.repo, x.file_path, a, z, "\n".join(lines[a - 1 : z])) for a, z in spans(len(lines), own, lines, max_lines, overlap)]
             yield pd.DataFrame(rows, columns=["workspace_id", "repo", "file_path", "start_line", "end_line", "text"])
 

@@ -16,7 +16,8 @@ from quillgraph.operators import chunking, flows, incremental, resolve
 from quillgraph.operators.extract import extract, facts_of
 from quillgraph.operators.incremental import Store
 from quillgraph.session import staged
-from quillgraph.sources import schema
+from quillgraph.operators.catalog import CountCache
+from quillgraph.sources import checkout, schema
 from quillgraph.sources.manifest import Manifest
 from quillgraph.sources.tree import SourceTree
 
@@ -25,24 +26,29 @@ FACT_TABLES = ["file", "module", "symbol", "import", "call_site", "route", "http
 
 @dataclass
 class Report:
-    """Rows per table, and the files that were read, left as they were, and deleted."""
+    """Rows per table, the same per repository (with its known topics), and the files that were read, left as they were, and
+    deleted."""
 
     tables: dict[str, int] = field(default_factory=dict)
+    repositories: dict[str, dict[str, int]] = field(default_factory=dict)
     changed: int = 0
     unchanged: int = 0
     deleted: int = 0
 
 
-def scan(spark: SparkSession, manifest: Manifest, workspace: str, only: str | None = None) -> DataFrame:
-    """workspace_id, repo, file_path, lang, size_bytes, line_count, text, hash of a workspace's local repositories."""
+def scan(spark: SparkSession, manifest: Manifest, workspace: str, only: str | None = None, checkouts: str | None = None) -> DataFrame:
+    """workspace_id, repo, file_path, lang, size_bytes, line_count, text, hash of a workspace's repositories.
+
+    checkouts: a folder that all executors share, for the repositories that have a url; without it they are refused.
+    """
     spark.dataSource.register(SourceTree)
     parts = []
     for r in manifest.workspace(workspace).repositories:
         if only is not None and r.name != only:
             continue
-        if r.path is None:
-            raise ValueError(f"{r.name} has no local path")
-        options = {"path": r.path} | ({"languages": ",".join(r.languages)} if r.languages else {})
+        if r.path is None and checkouts is None:
+            raise ValueError(f"{r.name} has no local path, and there is no folder for checkouts")
+        options = {"path": r.path or checkout.checkout(checkouts, workspace, r).path} | ({"languages": ",".join(r.languages)} if r.languages else {})
         tree = spark.read.format("source_tree").options(**options).load()
         parts.append(tree.select(F.lit(workspace).alias("workspace_id"), F.lit(r.name).alias("repo"), "*", F.sha2("text", 256).alias("hash")))
     if not parts:
@@ -98,13 +104,29 @@ def _derive_all(store: Store, workspace: str, report: Report) -> None:
         store.refresh(name, df, ("workspace_id",))
 
 
-def _count(store: Store, workspace: str, report: Report) -> Report:
+def _count(store: Store, workspace: str, report: Report, cache: CountCache | None = None) -> Report:
+    """All counts in one job; what was cached of the workspace is out of date now."""
+    out = None
+    of = lambda name: store.read(name).where(F.col("workspace_id") == workspace)
+    for name in [*FACT_TABLES, "calls", "http_flow", "topic_flow"]:
+        df = of(name)
+        repo = F.col("repo") if "repo" in df.columns else F.col("caller_repo") if "caller_repo" in df.columns else F.lit(None).cast("string")
+        one = df.select(F.lit(name).alias("name"), repo.cast("string").alias("repo")).groupBy("name", "repo").agg(F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    topics = flows.topic_counts(of("producer"), of("consumer")).select(F.lit("topic").alias("name"), F.col("repo").cast("string").alias("repo"), F.col("topics").alias("n"))
+    for r in out.unionByName(topics).collect():  # tables times the manifest's repositories
+        if r["name"] != "topic":
+            report.tables[r["name"]] = report.tables.get(r["name"], 0) + r["n"]
+        if r["repo"] is not None:
+            report.repositories.setdefault(r["repo"], {})[r["name"]] = r["n"]
     for name in [*FACT_TABLES, "calls", "http_flow", "topic_flow"]:
-        report.tables[name] = store.read(name).where(F.col("workspace_id") == workspace).count()
+        report.tables.setdefault(name, 0)
+    if cache is not None:
+        cache.invalidate(workspace)
     return report
 
 
-def index_full(spark: SparkSession, store: Store, files: DataFrame, workspace: str, provider: str | None = None) -> Report:
+def index_full(spark: SparkSession, store: Store, files: DataFrame, workspace: str, provider: str | None = None, cache: CountCache | None = None) -> Report:
     """Replaces the given files' repositories in all tables, and the workspace's calls and flows."""
     files = staged(files, "pipeline-files")
     repos = [r["repo"] for r in files.select("repo").distinct().collect()]  # the manifest's, so few
@@ -114,10 +136,10 @@ def index_full(spark: SparkSession, store: Store, files: DataFrame, workspace: s
         store.refresh(name, df)
     report = Report(changed=files.count())
     _derive_all(store, workspace, report)
-    return _count(store, workspace, report)
+    return _count(store, workspace, report, cache)
 
 
-def index_incremental(spark: SparkSession, store: Store, files: DataFrame, workspace: str, provider: str | None = None) -> Report:
+def index_incremental(spark: SparkSession, store: Store, files: DataFrame, workspace: str, provider: str | None = None, cache: CountCache | None = None) -> Report:
     """Reads only files whose hash differs from the stored one; what they held before goes, deleted files too."""
     files = staged(files, "pipeline-files")
     key = ["workspace_id", "repo", "file_path"]
@@ -132,4 +154,4 @@ def index_incremental(spark: SparkSession, store: Store, files: DataFrame, works
         for name, df in fresh.items():
             store.merge(name, df, touched, key)
         _derive_all(store, workspace, report)
-    return _count(store, workspace, report)
+    return _count(store, workspace, report, cache)

@@ -30,6 +30,7 @@ def test_full_then_incremental_equals_full(spark, project):
     store = Store(spark, f"file://{folder}/store")
     report = pipeline.index_full(spark, store, pipeline.scan(spark, m, "w"), "w", "hash")
     assert report.tables["file"] == 4 and report.tables["http_flow"] == 1 and report.tables["topic_flow"] == 1
+    assert report.repositories["a"]["route"] == 1 and report.repositories["b"]["http_client_call"] == 1 and report.repositories["a"]["topic"] == report.repositories["b"]["topic"] == 1
     calls = {(r["caller_fqn"], r["callee_fqn"], r["strategy"]) for r in store.read("calls").collect()}
     assert ("server.get_user", "server.load", "same-module") in calls and ("api.Api.fetch", "helper.tool", "import-suffix") in calls
     assert all(len(r["embedding"]) == 384 for r in store.read("chunk").collect())
