@@ -25,23 +25,59 @@ def _parse(source: str) -> ast.Module:
 
 
 def tree(source: str) -> ast.Module:
-    """The module's tree. If it doesn't parse, that of each top-level block that does, at its own lines."""
+    """The module's tree. If it doesn't parse, that of each block that does, at its own place; of a definition that doesn't,
+    its head and what can be read of its body."""
     source = source.replace("\r\n", "\n").replace("\r", "\n").lstrip("\ufeff").replace("\0", "")
     try:
         return _parse(source)
     except (SyntaxError, ValueError, RecursionError):
         pass
     lines = source.split("\n")
-    starts = [i for i, x in enumerate(lines) if x and not x[0].isspace() and x[0] not in "#)]}" and not re.match(r"(?:else|elif|except|finally)\b", x)]
+    return ast.Module(body=_recovered(lines, 0, len(lines), 0), type_ignores=[])
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def _at(lines: list[str], a: int, b: int, indent: int) -> list[ast.stmt] | None:
+    """The statements of the lines a to b, at their own places; None if they don't parse."""
+    text = "\n".join(lines[a:b])
+    try:
+        if not indent:
+            return _parse("\n" * a + text).body
+        return _parse("\n" * (a - 1) + f"if 1:\n{text}").body[0].body
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def _recovered(lines: list[str], a: int, b: int, indent: int) -> list[ast.stmt]:
+    starts = [i for i in range(a, b) if lines[i].strip() and _indent(lines[i]) <= indent and lines[i].lstrip()[0] not in "#)]}" and not re.match(r"\s*(?:else|elif|except|finally)\b", lines[i])]
     # decorators belong to what follows them
-    starts = [i for k, i in enumerate(starts) if not (k and lines[starts[k - 1]].startswith("@") and all(not x.strip() or x[0].isspace() for x in lines[starts[k - 1] + 1 : i]))]
+    starts = [i for k, i in enumerate(starts) if not (k and lines[starts[k - 1]].lstrip().startswith("@") and all(not x.strip() or _indent(x) > indent for x in lines[starts[k - 1] + 1 : i]))]
     body: list[ast.stmt] = []
-    for a, b in zip(starts, [*starts[1:], len(lines)], strict=True):
-        try:
-            body += _parse("\n" * a + "\n".join(lines[a:b])).body
-        except (SyntaxError, ValueError, RecursionError):
-            continue
-    return ast.Module(body=body, type_ignores=[])
+    for first, last in zip(starts, [*starts[1:], b], strict=True):
+        found = _at(lines, first, last, indent)
+        body += _definition(lines, first, last, indent) if found is None else found
+    return body
+
+
+def _definition(lines: list[str], a: int, b: int, indent: int) -> list[ast.stmt]:
+    """A class or function whose body holds an error."""
+    head = next((i for i in range(a, b) if not lines[i].lstrip().startswith("@")), b)
+    if head >= b or not re.match(r"\s*(?:async\s+def|def|class)\b", lines[head]):
+        return []
+    for end in range(head, b):
+        if lines[end].split("#")[0].rstrip().endswith(":"):
+            found = _at([*lines[:end], lines[end] + " pass"], a, end + 1, indent)
+            if not found:
+                return []
+            inner = next((_indent(x) for x in lines[end + 1 : b] if x.strip()), 0)
+            if inner > indent and (rest := _recovered(lines, end + 1, b, inner)):
+                found[-1].body = rest
+            found[-1].end_lineno = b
+            return found
+    return []
 
 
 def _chain(node: ast.expr) -> list[str]:

@@ -626,6 +626,16 @@ def _extracted(kind: str):
 for _kind in ("symbol", "import", "call", "route", "client", "producer", "consumer", "module"):
     QUERIES[f"extract_{_kind}"] = _extracted(_kind)
 
+@query("extract_known", "SELECT DISTINCT file_id, name, start_line, kind FROM symbol_def WHERE kind IS NOT NULL AND name IS NOT NULL AND start_line IS NOT NULL AND NOT (kind = 'variable' AND regexp_matches(file_path, '\\.pyi?$'))")
+def extract_known(spark, d):
+    """The extracted symbols that the given table of symbols has too (variables of Python modules are no symbols here)."""
+    from quillgraph.operators import extract
+
+    known = t(spark, d, "symbol_def").where("kind IS NOT NULL").select("file_id", "name", "start_line").distinct()
+    found = extract.facts_of(extract.extract(_sources(spark, d, "symbol")), "symbol")
+    return found.join(known, ["file_id", "name", "start_line"], "left_semi").select("file_id", "name", "start_line", F.col("symbol_kind").alias("kind")).distinct()
+
+
 SQL["extract_module"] = r"""SELECT file_id, workspace_id, repo, path AS file_path, 0 AS seq, 1 AS start_line,
   replace(regexp_replace(regexp_replace(regexp_replace(path, '^(?:(?:src|lib)/)+', ''), '\.(?:pyi?|tsx?|mts|cts|jsx?|mjs|cjs)$', ''), CASE WHEN lang = 'python' THEN '(?:^|/)__init__$' ELSE '(?:^|/)index$' END, ''), '/', '.') AS fqn,
   CASE WHEN regexp_matches(path, '(^|/)__init__\.pyi?$') THEN 'package' ELSE 'module' END AS symbol_kind

@@ -179,3 +179,11 @@ def test_metrics(spark):
     assert timers.rows[0][0] == "a"
     values = spark.createDataFrame([(0.04,), (0.3,), (99.0,)], "s double")
     assert [x["n"] for x in metrics.histogram(values, "s", [0.05, 1]).collect()] == [1, 2, 3]
+
+
+def test_definitions_around_an_error():
+    source = "class A:\n    \"\"\"Doc.\"\"\"\n\n    @wrap\n    def f(self):\n        g()\n        x = (1,\n\n    def h(self):\n        return k()\n\ndef i(:\n    pass\n\ndef j():\n   return 1\n  x = 2\n"
+    facts = kinds("m.py", source, "python")
+    symbols = {f["fqn"]: (f["symbol_kind"], f["start_line"], f["docstring"]) for f in facts if f["fact"] == "symbol"}
+    assert symbols["m.A"] == ("class", 1, "Doc.") and symbols["m.A.f"][:2] == ("method", 5) and symbols["m.A.h"][:2] == ("method", 9) and symbols["m.j"][0] == "function" and "m.i" not in symbols
+    assert {(f["caller_fqn"], f["call_text"]) for f in facts if f["fact"] == "call"} == {("m.A.f", "g"), ("m.A.h", "k")}
