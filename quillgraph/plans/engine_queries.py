@@ -239,8 +239,8 @@ def trace_http_route(spark, d):
     return traverse.trace_http(routes, staged(_edges(spark, d), "edges"), 3, workspace, "GET", path)
 
 
-@query("trace_message_topic", f"WITH {_MESSAGES} SELECT workspace_id, topic_name, 'producer' AS role, repo, caller_fqn FROM mp UNION SELECT workspace_id, topic_name, 'consumer', repo, caller_fqn FROM mc")
-def trace_message_topic(spark, d):
+@query("trace_topic", f"WITH {_MESSAGES} SELECT workspace_id, topic_name, 'producer' AS role, repo, caller_fqn FROM mp UNION SELECT workspace_id, topic_name, 'consumer', repo, caller_fqn FROM mc")
+def trace_topic(spark, d):
     return traverse.trace_topic(*_messages(spark, d))
 
 
@@ -266,30 +266,14 @@ def http_flow_match(spark, d):
     return flows.http_flows(clients, routes)
 
 
-def _topics(spark, d):
-    events = t(spark, d, "events").select(F.col("user_id").alias("id"), F.lit("w").alias("workspace_id"), F.concat(F.lit("repo"), F.col("user_id") % 20).alias("repo"), F.concat_ws("-", "event_type", (F.col("user_id") % 13).cast("string")).alias("topic_name")).distinct()
-    writes = events.where("topic_name NOT LIKE 'view%'")
-    return writes.withColumnRenamed("id", "producer_id"), events.where("topic_name NOT LIKE 'error%'").withColumnRenamed("id", "consumer_id")
-
-
-_TOPICS = "ev AS (SELECT DISTINCT user_id AS id, 'repo' || (user_id % 20) AS repo, event_type || '-' || (user_id % 13) AS topic_name FROM events), p AS (SELECT * FROM ev WHERE topic_name NOT LIKE 'view%'), c AS (SELECT * FROM ev WHERE topic_name NOT LIKE 'error%')"
-
-
-@query("topic_flow_match", f"WITH {_TOPICS} SELECT p.id AS producer_id, c.id AS consumer_id, topic_name FROM (SELECT DISTINCT id, topic_name FROM p) p JOIN (SELECT DISTINCT id, topic_name FROM c) c USING (topic_name)")
+@query("topic_flow_match", f"WITH {_MESSAGES} SELECT DISTINCT mp.symbol_id AS producer_id, mc.symbol_id AS consumer_id, topic_name FROM mp JOIN mc USING (workspace_id, topic_name)")
 def topic_flow_match(spark, d):
-    return flows.topic_flows(*_topics(spark, d))
+    return flows.topic_flows(*_messages(spark, d))
 
 
-@query("topic_counts", f"WITH {_TOPICS} SELECT repo, count(DISTINCT topic_name) AS topics FROM (SELECT repo, topic_name FROM p UNION ALL SELECT repo, topic_name FROM c) GROUP BY 1")
+@query("topic_counts", f"WITH {_MESSAGES} SELECT repo, count(DISTINCT topic_name) AS topics FROM (SELECT repo, topic_name FROM mp UNION ALL SELECT repo, topic_name FROM mc) GROUP BY 1")
 def topic_counts(spark, d):
-    return flows.topic_counts(*_topics(spark, d))
-
-
-@query("trace_topic", f"WITH {_TOPICS} SELECT topic_name, string_agg(DISTINCT p.repo, ',' ORDER BY p.repo) AS producers, coalesce(any_value(cc.consumers), '') AS consumers FROM p LEFT JOIN (SELECT topic_name, string_agg(DISTINCT repo, ',' ORDER BY repo) AS consumers FROM c GROUP BY 1) cc USING (topic_name) GROUP BY 1")
-def trace_topic(spark, d):
-    producers, consumers = _topics(spark, d)
-    some = lambda df, name: df.groupBy("topic_name").agg(F.array_join(F.sort_array(F.collect_set("repo")), ",").alias(name))
-    return some(producers, "producers").join(some(consumers, "consumers"), "topic_name", "left").fillna("", ["consumers"])
+    return flows.topic_counts(*_messages(spark, d))
 
 
 # ---- search -------------------------------------------------------------------------------------
