@@ -106,7 +106,7 @@ class Capture:
 
     * plans/N/ranges, the write-ahead plan of batch N: partition, run_id, after (exclusive), upto (inclusive), low;
       one row per run. low is where reading begins: `after`, or the start of an earlier time bucket to which
-      rows were added since it was read (late ones);
+      rows were added since it was read (late ones), or that of the partition's first rows;
     * plans/N/counts: the log's rows per partition and time bucket, by which late rows are noticed;
     * sink/batch=N/part=P: per key and run the state after (`now`) and before (`then`), `last` for a key's newest;
     * state/N: the newest state of every key after batch N, written by `compact`;
@@ -143,22 +143,24 @@ class Capture:
         runs = runs.select(*by, "run_id", "started_at")
         bucket = F.floor(F.unix_micros(F.col(self.position).cast("timestamp")) / (self.bucket_seconds * 1_000_000)).alias("bucket")
         counts = log.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("rows"))
+        counts = staged(counts, "capture-counts")
         kind = dict(runs.dtypes)["started_at"]
-        low = F.col("after")
+        # just before a bucket
+        begin = lambda b: F.timestamp_micros(b * self.bucket_seconds * 1_000_000 - 1).cast(kind)
+        starts = counts.groupBy(*by).agg(begin(F.min("bucket")).alias("start"))
         if n:
             old = self.spark.read.parquet(*[f"{self.folder}/plans/{m}/ranges" for m in range(n)])
             last = old.groupBy(*by).agg(F.max(F.struct(F.col("upto").alias("started_at"), "run_id")).alias("planned"))
             fresh = runs.join(last, by, "left").where(F.col("planned").isNull() | (F.struct("started_at", "run_id") > F.col("planned")))
-            counts = staged(counts, "capture-counts")
             was = self.spark.read.parquet(f"{self.folder}/plans/{n - 1}/counts").withColumnRenamed("rows", "was")
             grown = counts.join(was, [*by, "bucket"], "left").where(F.coalesce("was", F.lit(0)) != F.col("rows"))
-            begin = F.timestamp_micros(F.min("bucket") * self.bucket_seconds * 1_000_000 - 1).cast(kind)
-            fresh = fresh.join(grown.groupBy(*by).agg(begin.alias("grown")), by, "left")
-            low = F.when(F.col("after").isNotNull(), F.least("after", "grown"))
+            fresh = fresh.join(grown.groupBy(*by).agg(begin(F.min("bucket")).alias("grown")), by, "left")
         else:
             fresh = runs.withColumn("planned", F.lit(None).cast(f"struct<started_at:{kind},run_id:bigint>")).withColumn("grown", F.lit(None).cast(kind))
         before = F.lag("started_at").over(W.partitionBy(*by).orderBy("started_at", "run_id"))
-        ranges = fresh.withColumn("after", F.coalesce(before, F.col("planned.started_at"))).select(*by, "run_id", "after", F.col("started_at").alias("upto"), low.alias("low"))
+        # a partition's first run reads from the partition's first row on
+        low = F.when(F.col("after").isNotNull(), F.least("after", "grown")).otherwise(F.coalesce("start", "upto"))
+        ranges = fresh.join(starts, by, "left").withColumn("upto", F.col("started_at")).withColumn("after", F.coalesce(before, F.col("planned.started_at"))).select(*by, "run_id", "after", "upto", low.alias("low"))
         scratch = f"{self.folder}/scratch-{uuid.uuid4().hex}"
         ranges.write.parquet(f"{scratch}/ranges")
         if self.spark.read.parquet(f"{scratch}/ranges").isEmpty():
@@ -182,12 +184,10 @@ class Capture:
     def _process(self, log: DataFrame, n: int) -> None:
         by, plan = self.partition, self.spark.read.parquet(f"{self.folder}/plans/{n}/ranges")
         part = F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int").alias("part")
-        first, whole, last = plan.agg(F.min("low"), F.max(F.col("low").isNull()), F.max("upto")).first()
-        rows = log.where(F.col(self.position) <= F.lit(last))
-        if not whole:
-            rows = rows.where(F.col(self.position) > F.lit(first))
-        ends = plan.groupBy(*by).agg(F.min("low").alias("_low"), F.max(F.col("low").isNull()).alias("_whole"), F.max("upto").alias("_upto"))
-        rows = rows.join(ends, by).where((F.col("_whole") | (F.col(self.position) > F.col("_low"))) & (F.col(self.position) <= F.col("_upto"))).drop("_low", "_whole", "_upto")
+        first, last = plan.agg(F.min("low"), F.max("upto")).first()
+        rows = log.where((F.col(self.position) > F.lit(first)) & (F.col(self.position) <= F.lit(last)))
+        ends = plan.groupBy(*by).agg(F.min("low").alias("_low"), F.max("upto").alias("_upto"))
+        rows = rows.join(ends, by).where((F.col(self.position) > F.col("_low")) & (F.col(self.position) <= F.col("_upto"))).drop("_low", "_upto")
         taken = next_run(rows, plan.select(*by, "run_id", F.col("upto").alias("started_at")), self.position, self.bucket_seconds, by)
         state = F.struct(F.col(self.version).alias("version"), F.col(self.value).alias("value"))
         entries = self.expand(taken).select(part, F.pmod(F.xxhash64(*self.key), F.lit(SLICES)).cast("int").alias("slice"), *by, *self.key, "run", state.alias("state"))
