@@ -11,6 +11,7 @@ length than the query's, or all zero, are not found; equal scores are ordered by
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from collections.abc import Callable
@@ -84,16 +85,17 @@ class LexicalIndex:
         words = staged(words.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), "search-terms")
         buckets = [r["bucket"] for r in words.select("bucket").distinct().collect()]  # at most BUCKETS
         known = self._read("terms", buckets).drop("bucket")
-        return words.drop("bucket").join(known, "term").withColumn("idf", F.log(1.0 + (F.lit(self._stats()["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))), buckets
+        return words.drop("bucket").join(known, "term").withColumn("idf", F.log(1.0 + (F.lit(self._stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))), buckets
 
     def _read(self, what: str, buckets: list[int]) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{what}").where(F.col("bucket").isin(buckets))
 
+    @functools.cached_property
     def _stats(self):
         return self.spark.read.parquet(f"{self.folder}/stats").first()
 
     def _damped(self, tf: Column) -> Column:
-        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(self._stats()["length"] or 1.0)))
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(self._stats["length"] or 1.0)))
 
     def search(self, queries: DataFrame, limit: int) -> DataFrame:
         """query_id, key, score of the best documents. queries: query_id, workspace_id, text."""
