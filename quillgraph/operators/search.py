@@ -75,9 +75,16 @@ class LexicalIndex:
         rows = docs.select(*key, "_ws", "n", F.explode(counted).alias("t")).select(*key, "_ws", "n", "t.term", "t.tf")
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
         rows.select("*", bucket).repartition("bucket", F.pmod(F.xxhash64(*key), F.lit(16))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        stored = spark.read.parquet(f"{folder}/postings")
-        stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
-        return cls(spark, folder, key)
+        index = cls(spark, folder, key)
+        index._stored("postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+        return index
+
+    def _stored(self, what: str) -> DataFrame:
+        """postings or terms; an index without words has no files that would tell their columns."""
+        kinds = {f.name: f for f in self.spark.read.parquet(f"{self.folder}/documents").schema}
+        long, text, number = T.LongType(), T.StringType(), T.IntegerType()
+        own = [kinds[k] for k in [*self.key, "_ws", "n"]] + [T.StructField("term", text), T.StructField("tf", number)] if what == "postings" else [T.StructField("term", text), T.StructField("df", long)]
+        return self.spark.read.schema(T.StructType([*own, T.StructField("bucket", number)])).parquet(f"{self.folder}/{what}")
 
     def _asked(self, queries: DataFrame) -> tuple[DataFrame, list[int]]:
         """query_id, _in (the workspace), term, times, df, idf of the queries' terms that the index has; and their buckets."""
@@ -88,7 +95,7 @@ class LexicalIndex:
         return words.drop("bucket").join(known, "term").withColumn("idf", F.log(1.0 + (F.lit(self._stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))), buckets
 
     def _read(self, what: str, buckets: list[int]) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{what}").where(F.col("bucket").isin(buckets))
+        return self._stored(what).where(F.col("bucket").isin(buckets))
 
     @functools.cached_property
     def _stats(self):

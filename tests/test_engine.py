@@ -363,3 +363,16 @@ def test_http_flows_against_all_pairs(spark):
         want |= {(i, j) for j, s in scores.items() if s == max(scores.values())}
     make = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, workspace_id string, method string, path string")
     assert {(x["call_id"], x["route_id"]) for x in flows.http_flows(make(clients, "call_id"), make(routes, "route_id")).collect()} == want
+
+
+def test_searches_of_nothing(spark, tmp_path):
+    symbols = spark.createDataFrame([], SYMBOL_SCHEMA)
+    wanted = spark.createDataFrame([(1, "w", "some words")], "lookup_id int, workspace_id string, name string")
+    for mode in ("exact", "suffix", "fuzzy", "auto"):
+        assert search.lookup(symbols, wanted, mode).count() == 0
+        assert search.lookup(spark.createDataFrame(SYMBOL_ROWS, SYMBOL_SCHEMA), wanted.limit(0), mode).count() == 0
+    docs = spark.createDataFrame([(1, None), (2, " ? ")], "id bigint, text string")
+    assert search.bm25(docs, "id", F.col("text"), "words", 5).count() == 0
+    vectors = spark.createDataFrame([], "id bigint, e array<float>")
+    queries = spark.createDataFrame([(1, [1.0])], "query_id int, vector array<float>")
+    assert search.vector_topk(vectors, "id", "e", queries, 5).count() == 0
